@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing
+from . import chat_format, mixing, packing, secrets
 from .common import Scratch
 
+TOKENIZER = "word_bpe_49k.json"
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -26,6 +27,22 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digests(chat_format.prefix_targets(own.unionByName(added)))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        cut = packing.pieces(_read(spark, sf_dir, "documents"), tokenizer_path())
+        return scratch.keep(packing.pack(cut, scratch))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(_read(spark, sf_dir, "documents")))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
         sized = scratch.table(mixing.sizes(_read(spark, sf_dir, "documents")))
@@ -37,6 +54,8 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op3_chat_format": op3_chat_format,
+    "op4_packing": op4_packing,
+    "op6_secrets": op6_secrets,
     "op10_mixing": op10_mixing,
 }
 
