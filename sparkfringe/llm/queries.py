@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, packing, secrets
+from . import chat_format, mixing, near_dup, packing, secrets
 from .common import Scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -39,6 +39,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         return scratch.keep(packing.pack(cut, scratch))
 
 
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        found = near_dup.classes(_read(spark, sf_dir, "documents"), scratch)
+    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(_read(spark, sf_dir, "documents")))
 
@@ -55,6 +61,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_chat_format": op3_chat_format,
     "op4_packing": op4_packing,
+    "op5_near_dup": op5_near_dup,
     "op6_secrets": op6_secrets,
     "op10_mixing": op10_mixing,
 }
