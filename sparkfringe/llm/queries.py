@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, mixing, near_dup, packing, secrets
+from . import chat_format, embedding_dup, line_dedup, mixing, near_dup, packing, secrets, topk
 from .common import Scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -16,6 +16,11 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return topk.search(_read(spark, sf_dir, "embeddings"), scratch, F.col("vec_id") % 50 == 0)
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(
@@ -49,6 +54,17 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(_read(spark, sf_dir, "documents")))
 
 
+def op8_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        return embedding_dup.classes(_read(spark, sf_dir, "embeddings"), scratch)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with Scratch(spark) as scratch:
+        found = line_dedup.dedup(_read(spark, sf_dir, "documents").select("doc_id", "text"), scratch)
+    return found
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
         sized = scratch.table(mixing.sizes(_read(spark, sf_dir, "documents")))
@@ -59,13 +75,47 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op3_chat_format": op3_chat_format,
     "op4_packing": op4_packing,
     "op5_near_dup": op5_near_dup,
     "op6_secrets": op6_secrets,
+    "op8_embedding_dup": op8_embedding_dup,
+    "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
 }
 
+_VECTORS = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+)"""
+
+_OP1 = f"""{_VECTORS},
+i AS (SELECT vec_id, list_transform(e, lambda x: floor(256 * x)) AS e FROM v WHERE vec_id IS NOT NULL),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM i q JOIN i c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+_OP8 = f"""{_VECTORS},
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+    ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a
+), labels AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = labels.vec_id) AS n_links,
+  component_id, vec_id = component_id AS kept
+FROM labels
+"""
+
 _OP3 = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -118,4 +168,4 @@ SELECT doc_id, size, source_size, target,
 FROM cuts
 """
 
-ORACLE_SQL = {"op3_chat_format": _OP3, "op10_mixing": _OP10}
+ORACLE_SQL = {"op1_topk": _OP1, "op8_embedding_dup": _OP8, "op3_chat_format": _OP3, "op10_mixing": _OP10}
