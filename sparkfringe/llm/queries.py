@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dup, line_dedup, mixing, near_dup, packing, secrets, topk
+from . import chat_format, embedding_dup, line_dedup, mixing, near_dup, packing, secrets, topk, toxicity
 from .common import Scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -21,6 +21,19 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
         return topk.search(_read(spark, sf_dir, "embeddings"), scratch, F.col("vec_id") % 50 == 0)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    with Scratch(spark) as scratch:
+        model = toxicity.fit(docs, _read(spark, sf_dir, "labels"), scratch)
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        F.col("row.doc_id").cast("long").alias("doc_id"),
+        toxicity.held_out(F.col("row.doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     added = spark.range(2).select(
@@ -76,6 +89,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_topk": op1_topk,
+    "op2_toxicity": op2_toxicity,
     "op3_chat_format": op3_chat_format,
     "op4_packing": op4_packing,
     "op5_near_dup": op5_near_dup,
