@@ -9,10 +9,10 @@ threshold allows, of M windows, gives the similarity M / (windows of a + windows
 never above the texts' Jaccard similarity. Pairs of at least ``SIMILARITY`` are links; classes are
 what links connect.
 
-No bucket is expanded into all its pairs at once, and none is capped. Members of a bucket are compared with
-the bucket's first member; buckets that are not one class by then go on with their second, third and
-fourth, fifth to eighth member and so on, against members of other classes only, until each bucket is one
-class or all its pairs of different classes are compared.
+No bucket is expanded into all its pairs, and none is capped. Members of a bucket are compared with
+the bucket's first member. In buckets that are not one class by then, products of 0/1 matrices of texts
+and windows, in tiles of bounded size, tell how many windows texts of different classes share; those that
+share enough are aligned, and a tile returns no more links than connect its texts.
 
 Exact copies (of the words) are one node from the start, so their number doesn't matter. Texts that
 are null, empty or blank are in classes of their own. Rows with one doc_id count as one document only
@@ -32,13 +32,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import Scratch, components
 
 WINDOW = 5
 SIMILARITY = 0.8
 BANDS, TAKEN = 16, 4
+#: Texts of a bucket in one block, and windows multiplied at once.
+BLOCK, SLICE = 1024, 8192
 #: Up to this many ids are broadcast instead of shuffling texts.
 BROADCAST_IDS = 1_000_000
 CACHE_WORDS = 400_000
@@ -196,6 +197,68 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "words_a", "words_b").mapInArrow(check, "a binary, b binary")
 
 
+def _tile(rows: dict, least: float) -> list[tuple[bytes, bytes]]:
+    """A spanning forest of the links between different labels in a tile of one or two blocks."""
+    known = _Hashes()
+    own = [windows(w.split(" "), known) for w in rows["words"]]
+    sizes = np.array([len(w) for w in own])
+    block = np.array(rows["block"])
+    sides = [np.flatnonzero(block == x) for x in dict.fromkeys(rows["block"])]
+    a, b = sides[0], sides[-1]
+    _, label = np.unique(np.array(rows["label"], dtype=object), return_inverse=True)
+    every, at = np.unique(np.concatenate(own), return_inverse=True)
+    shared = np.bincount(at, minlength=len(every)) > 1
+    place = np.cumsum(shared) - 1
+    node = np.repeat(np.arange(len(own)), sizes)[shared[at]]
+    at = place[at][shared[at]]
+    common = np.zeros((len(a), len(b)), np.float32)
+    for low in range(0, int(shared.sum()), SLICE):
+        has = np.zeros((len(own), SLICE), np.float32)
+        here = (at >= low) & (at < low + SLICE)
+        has[node[here], at[here] - low] = 1
+        common += has[a] @ has[b].T
+    i, j = np.nonzero(common >= least / (1 + least) * (sizes[a][:, None] + sizes[b][None, :]) - 1e-3)
+    i, j = a[i], b[j]
+    out = []
+    while True:
+        open_ = label[i] != label[j]
+        i, j = i[open_], j[open_]
+        if not len(i):
+            return out
+        _, first = np.unique(i, return_index=True)  # one pair of each text, then look again
+        for x, y in zip(i[first], j[first], strict=True):
+            if label[x] != label[y] and alignment(own[x], own[y], least) >= least:
+                out.append((rows["key"][x], rows["key"][y]))
+                label[label == label[y]] = label[x]
+        keep = np.ones(len(i), bool)
+        keep[first] = False
+        i, j = i[keep], j[keep]
+
+
+def _within(labelled: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between members (bucket, key, label) of one bucket and different labels.
+
+    Buckets of the same members are looked at once. The numbers of windows that texts share come
+    from products of 0/1 matrices, tile by tile of at most two blocks; only pairs that share enough are aligned.
+    """
+    open_ = (
+        labelled.groupBy("bucket")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark"))
+        .where("low <> high AND n > 2")
+    )
+    once = open_.groupBy("n", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    dealt = labelled.join(once, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.select("bucket", "key", "label", "block", other.alias("other"))
+    dealt = dealt.select("bucket", "key", "label", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+
+    def look(table: pa.Table) -> pa.Table:
+        out = list(zip(*_tile(table.to_pydict(), least), strict=True)) or [(), ()]
+        return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
+
+    return dealt.join(texts, "key").groupBy("bucket", "low", "high").applyInArrow(look, "a binary, b binary")
+
+
 def classes(docs: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> DataFrame:
     """Rows (doc_id, class_id): one per row of ``docs``; class_id is the smallest doc_id of the class."""
     rows = scratch.table(sketched(docs))
@@ -209,33 +272,10 @@ def classes(docs: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> Dat
     texts = scratch.table(_texts(docs, members.select("key").distinct().join(nodes.select("key", "doc_id"), "key")))
     links = scratch.table(_verified(pairs, texts, least))
     labels = components(scratch, links)
-    tested, done = pairs, 1
-    while True:
-        labelled = members.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
-        labelled = scratch.table(labelled.withColumn("label", F.coalesce("label", "key")))
-        open_ = (
-            labelled.groupBy("bucket")
-            .agg(F.min("label").alias("first"), F.max("label").alias("last"), F.count("*").alias("n"))
-            .where((F.col("first") != F.col("last")) & (F.col("n") > done + 1))
-        )
-        ranked = labelled.join(open_.select("bucket"), "bucket").withColumn(
-            "rank", F.row_number().over(Window.partitionBy("bucket").orderBy("key"))
-        )
-        ranked = scratch.table(ranked)
-        hubs = ranked.where((F.col("rank") > done) & (F.col("rank") <= 2 * done))
-        more = ranked.alias("m").join(
-            hubs.select("bucket", F.col("key").alias("a"), F.col("label").alias("hub_label"), F.col("rank").alias("hub_rank")), "bucket"
-        ).where("rank > hub_rank AND label <> hub_label").select("a", F.col("key").alias("b")).distinct()
-        more = scratch.table(more.join(tested, ["a", "b"], "left_anti"))
-        if ranked.isEmpty():
-            break
-        if not more.isEmpty():
-            new = scratch.table(_verified(more, texts, least))
-            tested = tested.unionByName(more)
-            if not new.isEmpty():
-                links = links.unionByName(new)
-                labels = components(scratch, links)
-        done *= 2
+    labelled = members.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
+    more = scratch.table(_within(scratch.table(labelled.withColumn("label", F.coalesce("label", "key"))), texts, least))
+    if not more.isEmpty():
+        labels = components(scratch, links.unionByName(more))
     named = nodes.select("key", "doc_id").join(labels.withColumnRenamed("node", "key"), "key", "left")
     named = named.select("key", "doc_id", F.coalesce("label", "key").alias("label"))
     named = named.join(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("key", "class_id")
