@@ -127,7 +127,7 @@ def sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 def mix(docs: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    planned = plan(scratch.table(sizes(docs, seed)), scratch, weights, max_epochs)
+    planned = scratch.keep(plan(scratch.table(sizes(docs, seed)), scratch, weights, max_epochs))
     keyed = docs.select(F.struct("*").alias("row"), F.col("source"), order_key(seed).alias("key"))
     taken = with_repeats(keyed, planned).where("repeats > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats"))).alias("copy")).select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embedding_dup, line_dedup, mixing, near_dup, packing, secrets, topk, toxicity
+from . import chat_format, embedding_dup, html_text, line_dedup, mixing, near_dup, packing, secrets, topk, toxicity
 from .common import Scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.scan(_read(spark, sf_dir, "documents")))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(_read(spark, sf_dir, "pages"), html_text.trained())
+
+
 def op8_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
         return embedding_dup.classes(_read(spark, sf_dir, "embeddings"), scratch)
@@ -94,6 +98,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_near_dup": op5_near_dup,
     "op6_secrets": op6_secrets,
+    "op7_html_text": op7_html_text,
     "op8_embedding_dup": op8_embedding_dup,
     "op9_line_dedup": op9_line_dedup,
     "op10_mixing": op10_mixing,
