@@ -131,7 +131,7 @@ def _answer(plan: Plan, table: pa.Table, loaded: dict[str, np.ndarray] | None =
         else:
             freqs, x, flags = _means(state.f, freq, shape[1]), state.x, state.flags
         grid = np.indices(flags.shape).reshape(4, -1)
-        g = K.as_vector(state.kind.gains(x.reshape(-1, x.shape[-1]), freqs[grid[1]]), plan.n_corr)
+        g = K.as_vector(state.kind.gains(x.reshape(flags.size, x.shape[-1]), freqs[grid[1]]), plan.n_corr)
         parts.append(_rows(len(g), named, kind="gain", t_bin=grid[0], f_bin=grid[1], ant=grid[2], dir=grid[3], gain_time=times[grid[0]], gain_freq=freqs[grid[1]], g=_cells(g), flag=flags.ravel()))
         if t.type not in PLAIN and state.kind.count():
             grid = np.indices(shape).reshape(4, -1)

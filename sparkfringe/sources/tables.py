@@ -118,7 +118,8 @@ class _Rows(HTMLParser):
 def _angle(text: str, hours: bool) -> float:
     """Radians of ``h:m:s``, ``d.m.s`` or plain degrees."""
     sign = -1 if text.strip().startswith("-") else 1
-    parts = [float(x) for x in re.findall(r"[\d.]+", text.replace("°", " ").replace("'", " "))]
+    pieces = re.fullmatch(r"\s*[-+]?(\d+)\.(\d+)\.(\d+(?:\.\d+)?)\s*", text)
+    parts = [float(x) for x in (pieces.groups() if pieces else re.findall(r"[\d.]+", text.replace("°", " ").replace("'", " ")))]
     if len(parts) == 1:
         return sign * parts[0] * pi / 180
     whole = parts[0] + parts[1] / 60 + (parts[2] / 3600 if len(parts) > 2 else 0)
