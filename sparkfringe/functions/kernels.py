@@ -411,6 +411,7 @@ class TermState:
     per_array: bool = False
     scalar: bool = False
     estimate: bool = True
+    pinned: tuple[int, ...] = ()
     x: np.ndarray = field(default=None)  # type: ignore[assignment]
     flags: np.ndarray = field(default=None)  # type: ignore[assignment]
     jhj: np.ndarray = field(default=None)  # type: ignore[assignment]
@@ -602,6 +603,8 @@ def solve_term(chunk: Chunk, chain: list[TermState], active: int, stop_fraction:
     for loop in range(term.iterations):
         jhj, jhr = _collapse(term, shape, *normal_equations(chunk, chain, active))
         update = _solved(jhj, jhr).reshape(term.x.shape)
+        if term.dependent:
+            update[:, :, :, list(term.pinned)] = 0
         term.x = np.where((term.flags == 1)[..., None], term.x, term.x + kind.step(loop, term.dependent) * update)
         term.jhj, term.loops = jhj.reshape(*shape, kind.count(), kind.count()), loop + 1
         now = look(term.x)

@@ -32,6 +32,19 @@ def fill_grid(times: np.ndarray, freqs: np.ndarray, values: np.ndarray) -> np.nd
     return np.where(np.isfinite(out), out, 0.0)
 
 
+def phase_interp(to: np.ndarray, x: np.ndarray, phase: np.ndarray) -> np.ndarray:
+    """Phases along the shorter arc, the nearest beyond the ends."""
+    return np.arctan2(np.interp(to, x, np.sin(phase)), np.interp(to, x, np.cos(phase)))
+
+
+def align_correlations(gains: DataFrame, have: list[str], want: list[str]) -> DataFrame:
+    """Gains on the wanted correlations: elements by label, those that aren't stored as in the identity."""
+    from ..functions.jones import Cx
+
+    one = lambda c: Cx.lit(float(c[0] == c[1])).column()
+    return gains.withColumn("g", F.array(*[F.col("g")[have.index(c)] if c in have else one(c) for c in want]))
+
+
 def nearest(x: np.ndarray, to: np.ndarray) -> np.ndarray:
     return np.abs(x[None, :] - to[:, None]).argmin(1)
 

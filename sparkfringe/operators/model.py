@@ -13,6 +13,11 @@ from ..plans.config import Recipe
 LIGHT = 299792458.0
 
 
+def column_of(name: str) -> str:
+    """A column name for a sky model's path."""
+    return name if name.isidentifier() else "sky_" + "".join(c if c.isalnum() else "_" for c in name)
+
+
 def add_model(vis: DataFrame, recipe: Recipe, n_corr: int, clusters: dict[str, list[str]] | None = None) -> DataFrame:
     """``model``: an array over directions. Columns are added and subtracted per direction; a sky model with
     tags is an array column whose further elements are directions of their own."""
@@ -23,9 +28,11 @@ def add_model(vis: DataFrame, recipe: Recipe, n_corr: int, clusters: dict[str, l
         total, more = Jones.zero(n_corr), []
         for k, (sign, name, tags) in enumerate(terms):
             names = (clusters or {}).get(name) if tags else None
-            own = Jones.of(F.col(name)[0] if names else F.col(name), n_corr)
+            column = F.col(column_of(name))
+            sky = name.endswith((".html", ".txt", ".lsm"))
+            own = Jones.of(column[0] if sky else column, n_corr)
             if names:
-                more = [Jones.of(F.col(name)[d], n_corr).scale(F.lit(float(sign))) for d in range(1, len(names))]
+                more = [Jones.of(column[d], n_corr).scale(F.lit(float(sign))) for d in range(1, len(names))]
             total = own if not k and sign > 0 else total + own if sign > 0 else total - own
         out += [total, *more]
     return vis.withColumn("model", F.array(*[j.column() for j in out]))
@@ -42,25 +49,46 @@ def lmn(ra: Column, dec: Column, ra0: Column, dec0: Column) -> tuple[Column, Col
     return l, m, F.sqrt(F.greatest(1 - l * l - m * m, F.lit(0.0))) - 1
 
 
-def predict(vis: DataFrame, sources: DataFrame, fields: DataFrame, n_corr: int, circular: bool = False, name: str = "sky", on: tuple[str, ...] = ("row_id", "chan")) -> DataFrame:
+def source_id() -> Column:
+    return F.xxhash64("model", "cluster", "type", "ra", "dec", "i", "q", "u", "v")
+
+
+def predict(
+    vis: DataFrame, sources: DataFrame, fields: DataFrame, n_corr: int, circular: bool = False, name: str = "sky",
+    on: tuple[str, ...] = ("row_id", "chan"), invert_uvw: bool = False, beams: DataFrame | None = None,
+) -> DataFrame:
     """The sum over sources of brightness times exp(2 pi i (u l + v m + w (n - 1)) / lambda), for each cluster.
 
     Every source meets every visibility, as the measurement equation asks; the sources of a sky model are a
-    table of set size, so they go to the data and the sum is combined before it is shuffled. Returns
-    (scan, field, ddid, on, name array over clusters in their order).
+    table of set size, so they go to the data and the sum is combined before it is shuffled. ``beams`` (see
+    :func:`beam_jones`) stand on either side of a source's brightness. Returns (scan, field, ddid, on, name array
+    over clusters in their order).
     """
     keys = ["scan", "field", "ddid", *on]
     centre = fields.select("field", F.col("phase_ra").alias("_ra0"), F.col("phase_dec").alias("_dec0"))
     each = sources.crossJoin(F.broadcast(centre))
     l, m, n = lmn(F.col("ra"), F.col("dec"), F.col("_ra0"), F.col("_dec0"))  # noqa: E741
-    each = each.select("field", "cluster", "type", "i", "q", F.col("u").alias("su"), F.col("v").alias("sv"), "spi", "ref_freq", "emaj", "emin", "pa", l.alias("l"), m.alias("m"), n.alias("n"))
-    rows = vis.select(*keys, "u", "v", "w", "freq").join(F.broadcast(each) if _few(sources) else each, "field")
+    each = each.select("field", source_id().alias("source"), "cluster", "type", "i", "q", F.col("u").alias("su"), F.col("v").alias("sv"), "spi", "ref_freq", "emaj", "emin", "pa", l.alias("l"), m.alias("m"), n.alias("n"))
+    more = ["time", "ant1", "ant2"] if beams is not None else []
+    more = [c for c in dict.fromkeys([*more, "chan"]) if c not in keys] if beams is not None else []
+    sign = -1.0 if invert_uvw else 1.0
+    rows = vis.select(*keys, *more, *[(F.col(c) * sign).alias(c) for c in "uvw"], "freq").join(F.broadcast(each) if _few(sources) else each, "field")
     wave = F.col("freq") / LIGHT
     angle = 2 * pi * wave * (F.col("u") * F.col("l") + F.col("v") * F.col("m") + F.col("w") * F.col("n"))
     scale = F.when(F.col("spi").isNull() | (F.col("spi") == 0), 1.0).otherwise(F.pow(F.col("freq") / F.col("ref_freq"), F.col("spi")))
     shape = F.when(F.col("type") == "gauss", _gaussian(wave)).otherwise(1.0)
     k = Cx(F.cos(angle) * scale * shape, F.sin(angle) * scale * shape)
     brightness = _brightness(n_corr, circular)
+    if beams is not None:
+        if n_corr != 4:
+            raise ValueError("beams need four correlations")
+        at = ["scan", "field", "ddid", "time", "chan", "source"]
+        for ant, side in (("ant1", "_ep"), ("ant2", "_eq")):
+            rows = rows.join(beams.select(*at, F.col("ant").alias(ant), F.col("e").alias(side)), [*at, ant])
+        rows = rows.withColumn("_b", Jones(tuple(brightness)).column())
+        rows = rows.withColumn("_b", (Jones.of(F.col("_ep"), 4) @ Jones.of(F.col("_b"), 4)).column())
+        rows = rows.withColumn("_b", (Jones.of(F.col("_b"), 4) @ Jones.of(F.col("_eq"), 4).herm()).column())
+        brightness = list(Jones.of(F.col("_b"), 4).parts)
     cells = [b * k for b in brightness]
     sums = [s for c, x in enumerate(cells) for s in (F.sum(x.re).alias(f"re{c}"), F.sum(x.im).alias(f"im{c}"))]
     total = rows.groupBy(*keys, "cluster").agg(*sums)
@@ -89,3 +117,50 @@ def _brightness(n_corr: int, circular: bool) -> list[Cx]:
     else:
         four = [Cx(i + q, zero), Cx(u, v), Cx(u, -v), Cx(i - q, zero)]
     return {1: four[:1], 2: [four[0], four[3]], 4: four}[n_corr]
+
+
+def beam_jones(sources: DataFrame, fields: DataFrame, angles: DataFrame, chans: DataFrame, grid: DataFrame, l_axis: list[float], m_axis: list[float]) -> DataFrame:
+    """(scan, field, ddid, time, ant, chan, source, e): the beam towards each source, turned by the parallactic angle.
+
+    ``grid`` (corr, m, l, chan, re, im) is linear between its points along l, m and channel; it is a table of
+    set size, which the tasks get whole. Beyond the grid the beam is that of its edge.
+    """
+    import numpy as np
+    import pandas as pd
+
+    from ..plans.schemas import JONES
+
+    table = grid.toPandas()
+    size = [int(table[c].max()) + 1 for c in ("corr", "chan", "m", "l")]
+    cube = np.zeros(size, complex)
+    cube[tuple(table[c].to_numpy(int) for c in ("corr", "chan", "m", "l"))] = table["re"] + 1j * table["im"]
+    centre = fields.select("field", F.col("phase_ra").alias("_ra0"), F.col("phase_dec").alias("_dec0"))
+    l, m, _ = lmn(F.col("ra"), F.col("dec"), F.col("_ra0"), F.col("_dec0"))  # noqa: E741
+    places = sources.crossJoin(F.broadcast(centre)).select("field", source_id().alias("source"), l.alias("l"), m.alias("m"))
+    turn = F.col("angle0")
+    asked = angles.join(F.broadcast(places), "field").select(
+        "scan", "field", "ddid", "time", "ant", "source",
+        (F.col("l") * F.cos(turn) - F.col("m") * F.sin(turn)).alias("x"), (F.col("l") * F.sin(turn) + F.col("m") * F.cos(turn)).alias("y"),
+    )
+    bands = chans.groupBy("ddid").agg(F.count("*").alias("n_chan"))
+    asked = asked.join(F.broadcast(chans.select("ddid", "chan")), "ddid").join(F.broadcast(bands), "ddid")
+
+    def weights_of(value, axis):
+        if len(axis) == 1:
+            return np.zeros(len(value), int), np.zeros(len(value), int), np.zeros(len(value))
+        at = np.clip(np.interp(value, axis, np.arange(len(axis))), 0, len(axis) - 1)
+        low = np.minimum(at.astype(int), len(axis) - 2)
+        return low, low + 1, at - low
+
+    def look(batches):
+        for b in batches:
+            nu = b["chan"].to_numpy() * (size[1] - 1) / np.maximum(b["n_chan"].to_numpy() - 1, 1)
+            sides = [weights_of(nu, np.arange(size[1])), weights_of(b["y"].to_numpy(), m_axis), weights_of(b["x"].to_numpy(), l_axis)]
+            e = 0
+            for corner in np.ndindex(2, 2, 2):
+                w = np.prod([s[2] if c else 1 - s[2] for s, c in zip(sides, corner, strict=True)], axis=0)
+                e = e + w * cube[:, sides[0][corner[0]], sides[1][corner[1]], sides[2][corner[2]]]
+            cells = [[{"re": float(z.real), "im": float(z.imag)} for z in col] for col in e.T]
+            yield pd.DataFrame({c: b[c] for c in ("scan", "field", "ddid", "time", "ant", "chan", "source")} | {"e": cells})
+
+    return asked.mapInPandas(look, f"scan int, field int, ddid int, time double, ant int, chan int, source long, e {JONES}")

@@ -110,7 +110,7 @@ def _answer(plan: Plan, table: pa.Table, loaded: dict[str, np.ndarray] | None =
         kind = K.KINDS[t.type](plan.n_corr, band)
         if isinstance(kind, K.ParallacticAngle):
             kind.circular = plan.circular
-        state = K.TermState(kind, get(f"{t.name}_t_bin").astype(int), get(f"{t.name}_pf_bin").astype(int), t.direction_dependent, per_array=t.solve_per == "array", scalar=t.scalar, estimate=t.initial_estimate)
+        state = K.TermState(kind, get(f"{t.name}_t_bin").astype(int), get(f"{t.name}_pf_bin").astype(int), t.direction_dependent, per_array=t.solve_per == "array", scalar=t.scalar, estimate=t.initial_estimate, pinned=t.pinned_directions)
         if loaded and t.name in loaded:
             state.x = kind.loaded(loaded[t.name]) if t.type not in PLAIN else loaded[t.name]
         chain.append(state)

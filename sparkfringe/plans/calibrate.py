@@ -9,10 +9,10 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import apply, binning, flagging, interpolation, model, preprocess, solver, stats
+from ..operators import angles, apply, binning, flagging, interpolation, model, preprocess, solver, stats
 from ..sources import tables as sources
 from .config import Config, TermOptions, final_config, parse_recipe
-from .schemas import CHUNK, JONES
+from .schemas import CHUNK, JONES, KEYS
 
 LOG = logging.getLogger(__name__)
 
@@ -55,10 +55,21 @@ def bin_terms(vis: DataFrame, times: DataFrame, chans: DataFrame, terms: list[Te
     return binning.attach(out, f.drop("freq", "width", "f_chunk"), ["ddid", "chan"])
 
 
-def load_terms(spark: SparkSession, vis: DataFrame, config: Config, n_corr: int) -> DataFrame | None:
-    """Stored gains or parameters of terms with load_from, interpolated onto the bins of this run."""
+def load_terms(spark: SparkSession, vis: DataFrame, config: Config, n_corr: int, turns: DataFrame | None = None) -> DataFrame | None:
+    """Stored gains or parameters of terms with load_from, interpolated onto the bins of this run; parallactic angles
+    come from ``turns`` (scan, field, ddid, time, ant, angle0, angle1)."""
     out = None
     for term in config.chain():
+        if term.type == "parallactic_angle":
+            if turns is None:
+                raise ValueError(f"{term.name} needs parallactic angles")
+            bins = vis.select(*CHUNK, F.col(f"{term.name}_t_bin").alias("t_bin"), F.col(f"{term.name}_pf_bin").alias("f_bin"), "time").distinct()
+            own = bins.join(turns, [*KEYS, "time"]).select(
+                *CHUNK, F.lit(term.name).alias("term"), "t_bin", "f_bin", "ant", F.lit(0).alias("dir"),
+                F.lit(None).cast(JONES).alias("g"), F.array("angle0", "angle1").alias("p"),
+            )
+            out = own if out is None else out.unionByName(own)
+            continue
         if not term.load_from:
             continue
         stored = spark.read.parquet(term.load_from).where(F.col("term") == term.name)
@@ -84,8 +95,12 @@ def load_terms(spark: SparkSession, vis: DataFrame, config: Config, n_corr: int)
     return out
 
 
-def calibrate(vis: DataFrame, chans: DataFrame, config: Config, n_corr: int, n_ant: int, circular: bool = False) -> Outcome:
-    """Solves and applies. ``vis`` has the columns of :data:`plans.schemas.VIS` and those the recipe names."""
+def calibrate(
+    vis: DataFrame, chans: DataFrame, config: Config, n_corr: int, n_ant: int, circular: bool = False,
+    clusters: dict[str, list[str]] | None = None, turns: DataFrame | None = None,
+) -> Outcome:
+    """Solves and applies. ``vis`` has the columns of :data:`plans.schemas.VIS` and those the recipe names; a
+    ``row_weight`` column, of averaged data, scales the weights."""
     for line in final_config(config):
         LOG.debug(line)
     spark, ms = vis.sparkSession, config.input_ms
@@ -94,13 +109,15 @@ def calibrate(vis: DataFrame, chans: DataFrame, config: Config, n_corr: int, n_a
         vis = preprocess.select_correlations(vis, ms.select_corr, n_corr)
         n_corr = len(ms.select_corr)
     vis = preprocess.preprocess(vis, n_corr, ms.weight_column, ms.sigma_column, ms.select_uv_range)
+    if "row_weight" in vis.columns:
+        vis = vis.withColumn("weight", F.transform("weight", lambda w: w * F.col("row_weight")))
     recipe = parse_recipe(config.input_model.recipe)
-    vis = model.add_model(vis, recipe, n_corr)
-    n_dir = model.n_directions(recipe)
+    vis = model.add_model(vis, recipe, n_corr, clusters)
+    n_dir = model.n_directions(recipe, clusters)
     vis, times, chans = chunked(vis, chans, ms.time_chunk, ms.freq_chunk)
     vis = bin_terms(vis, times, chans, config.chain()).persist(StorageLevel.MEMORY_AND_DISK)
     plan = solver.Plan(tuple(config.chain()), config.solver, n_corr, n_ant, circular)
-    result = solver.solve(vis, plan, load_terms(spark, vis, config, n_corr)).persist(StorageLevel.MEMORY_AND_DISK)
+    result = solver.solve(vis, plan, load_terms(spark, vis, config, n_corr, turns)).persist(StorageLevel.MEMORY_AND_DISK)
     found = solver.split(result)
     on = [*CHUNK, "row_id", "chan"]
     kept = found["vis"].select(*on, F.col("flag").alias("_flag"), F.col("weight").alias("_weight"))
@@ -123,6 +140,11 @@ def calibrate(vis: DataFrame, chans: DataFrame, config: Config, n_corr: int, n_a
         mad = config.mad_flags
         out = flagging.whitened(out, n_corr, weights=None if mad.whitening == "disabled" else "weight")
         out = flagging.mad_flags(out, n_corr, mad.threshold_bl, mad.threshold_global, mad.max_deviation, mad.use_off_diagonals)
+    if config.output.apply_p_jones_inv:
+        if turns is None:
+            raise ValueError("derotation needs parallactic angles")
+        products = ["residual", "corrected_data", "corrected_residual"]
+        out = angles.apply_rotation(out, turns, products, circular, derotate=True, n_corr=n_corr)
     net = {}
     for names in config.output.net_gains:
         own = [t for t in terms if t.name in names]
@@ -133,6 +155,24 @@ def calibrate(vis: DataFrame, chans: DataFrame, config: Config, n_corr: int, n_a
     return Outcome(out, found["gain"], found["param"], found["conv"], found["stats"], net, baseline)
 
 
+def add_sky(spark: SparkSession, vis: DataFrame, tables: dict[str, DataFrame], chans: DataFrame, config: Config, n_corr: int, circular: bool, turns: DataFrame | None) -> tuple[DataFrame, dict[str, list[str]]]:
+    """The sky models of the recipe as array columns, and the clusters that each has."""
+    options, clusters = config.input_model, {}
+    recipe = parse_recipe(options.recipe)
+    tags = {name: t for d in recipe.directions for _, name, t in d}
+    beams_of = None
+    if options.beam:
+        paths = {c: (options.beam.replace("$(corr)", str(c)).replace("$(reim)", "re"), options.beam.replace("$(corr)", str(c)).replace("$(reim)", "im")) for c in range(4)}
+        grid = sources.beam_grid(spark, paths)
+        beams_of = lambda src: model.beam_jones(src, tables["FIELD"], turns, chans, grid, list(options.beam_l_axis), list(options.beam_m_axis))
+    for name in recipe.sky_models:
+        src = sources.read_sky_models(spark, {name: tags[name]})
+        clusters[name] = sorted(r["cluster"] for r in src.select("cluster").distinct().collect())
+        sky = model.predict(vis, src, tables["FIELD"], n_corr, circular, model.column_of(name), invert_uvw=options.invert_uvw, beams=beams_of(src) if beams_of else None)
+        vis = vis.join(sky, [*KEYS, "row_id", "chan"])
+    return vis, {n: c for n, c in clusters.items() if tags[n]}
+
+
 def run(spark: SparkSession, config: Config) -> Outcome:
     """Reads the table of ``config``, calibrates and writes products and gains under the output path."""
     tables = sources.read_sub_tables(spark, config.input_ms.path)
@@ -140,7 +180,15 @@ def run(spark: SparkSession, config: Config) -> Outcome:
     n_ant = tables["ANTENNA"].agg(F.max("ant")).first()[0] + 1
     names = sources.correlation_names(tables, vis.select("ddid").first()[0])
     chans = binning.channels(tables["SPECTRAL_WINDOW"], tables["DATA_DESCRIPTION"])
-    found = calibrate(vis, chans, config, len(names), n_ant, names[0][0] in "RL")
+    circular, turns = names[0][0] in "RL", None
+    if config.output.apply_p_jones_inv or config.input_model.apply_p_jones or config.input_model.beam or any(t.type == "parallactic_angle" for t in config.chain()):
+        angles.check_receptors(tables["FEED"])
+        turns = angles.parallactic_angles(binning.distinct_times(vis).select(*KEYS, "time"), tables["ANTENNA"], tables["FIELD"], tables["FEED"])
+    vis, clusters = add_sky(spark, vis, tables, chans, config, len(names), circular, turns)
+    if config.input_model.apply_p_jones:
+        models = parse_recipe(config.input_model.recipe).columns
+        vis = angles.apply_rotation(vis, turns, models, circular, n_corr=len(names))
+    found = calibrate(vis, chans, config, len(names), n_ant, circular, clusters, turns)
     to = config.output.path
     if to:
         if config.output.products:

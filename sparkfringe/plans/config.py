@@ -61,7 +61,7 @@ def parse_recipe(text: str | None) -> Recipe:
     if not text:
         return Recipe([[]])
     out = []
-    for part in re.sub(r"\s", "", text).split(":"):
+    for part in re.split(r":(?!//)", re.sub(r"\s", "", text)):
         pieces = re.split(r"([+~])", part)
         terms, sign = [], 1
         if not part or pieces[-1] == "":
@@ -116,7 +116,10 @@ class InputOptions:
 @dataclass
 class ModelOptions:
     recipe: str = ""
-    source_chunks: int = 500
+    beam: str = ""
+    beam_l_axis: tuple[float, ...] = ()
+    beam_m_axis: tuple[float, ...] = ()
+    invert_uvw: bool = True
     apply_p_jones: bool = False
 
 

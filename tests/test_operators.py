@@ -300,6 +300,87 @@ def test_tables_round_trip(spark, tmp_path):
     assert tables.write_plots(plot, f"{path}/plots", ["ant"], "gain_time").count() == 2
 
 
+def simulated(spark, path: str, n_corr: int = 4):
+    """A small measurement of one point source off the centre, on disk."""
+    subs = {
+        "ANTENNA": [(k, f"a{k}", "alt", 5e6 + 1e3 * k, 1e6 + 2e3 * k, -3e6, False) for k in range(4)], "SPECTRAL_WINDOW": [(0, [1e9, 1.1e9], [1e8, 1e8], 1e9, 2e8)],
+        "POLARIZATION": [(0, [9, 10, 11, 12])], "DATA_DESCRIPTION": [(0, 0, 0)], "FIELD": [(0, "f", 0, 0.5, -0.5)], "FEED": [(k, 0, ["X", "Y"], [0.0, 0.0]) for k in range(4)],
+    }
+    for name, rows in subs.items():
+        spark.createDataFrame(rows, tables.SUB_TABLES[name]).write.parquet(f"{path}/{name}")
+    rows, cx = [], (1.0, 0.0)
+    for t in range(3):
+        for p in range(4):
+            for q in range(p + 1, 4):
+                for c in (0, 1):
+                    rows.append((0, 0, 0, t * 100 + p * 10 + q, 5.1e9 + 8.0 * t, 8.0, p, q, 30.0 * (p - q), 20.0 * (p - q) + t, 1.0, c, [cx] * n_corr, [1.0] * n_corr, [False] * n_corr, False))
+    schema = "scan int, field int, ddid int, row_id long, time double, interval double, ant1 int, ant2 int, u double, v double, w double, chan int, data array<struct<re:double,im:double>>, weight array<double>, flag array<boolean>, flag_row boolean"
+    vis = spark.createDataFrame(rows, schema)
+    with open(f"{path}/sky.txt", "w") as f:
+        f.write("#name ra dec i q tags\nA 28.7 -28.6 2.0 0.5 dE\nB 28.6 -28.7 1.0 0.0 x\n")
+    tables.write_main(vis, path)
+    read = tables.read_sub_tables(spark, path)
+    sources = tables.read_sky_models(spark, {f"file://{path}/sky.txt": ("dE",)})
+    full = tables.with_axes(vis, read)
+    sky = model.predict(full, sources, read["FIELD"], 4, invert_uvw=True)
+    both = (Jones.of(F.col("sky")[0], 4) + Jones.of(F.col("sky")[1], 4)).column()
+    data = vis.drop("data").join(sky.select("row_id", "chan", both.alias("data")), ["row_id", "chan"]).localCheckpoint()
+    return read, sources, full, data
+
+
+def test_runs_with_sky_models_and_angles(spark, tmp_path):
+    path = str(tmp_path / "ms")
+    read, sources, full, data = simulated(spark, path)
+    tables.write_main(data, path, "overwrite")
+    sky = f"file://{path}/sky.txt"
+    base = {"input_ms": {"path": path, "weight_column": "weight"}, "input_model": {"recipe": f"{sky}@dE"}, "solver": {"terms": ["G"], "iter_recipe": [20]}}
+    plain = calibrate_run(spark, base | {"G": {"type": "phase", "freq_interval": 0, "time_interval": 0}})
+    assert all(r.postsolve_chisq < 1e-12 for r in plain.stats.collect())
+    split = calibrate_run(spark, base | {"G": {"type": "diag_complex", "freq_interval": 0, "time_interval": 0, "direction_dependent": True, "pinned_directions": [1]}})
+    assert split.gain.select("dir").distinct().count() == 2
+    pinned = split.gain.where("dir = 1").select(F.max(F.abs(F.col("g")[0]["re"] - 1)).alias("x")).first().x
+    assert pinned < 1e-9
+    turned = calibrate_run(spark, base | {"solver": {"terms": ["P"], "iter_recipe": [0]}, "P": {"type": "parallactic_angle"}, "output": {"apply_p_jones_inv": True}})
+    g = turned.gain.first().g
+    assert abs(g[0].re ** 2 + g[1].re ** 2 - 1) < 1e-9 and abs(g[1].re) > 1e-3
+    cards = ["SIMPLE  =                    T", "BITPIX  =                  -64", "NAXIS   =                    3", "NAXIS1  =                    2", "NAXIS2  =                    2", "NAXIS3  =                    1", "END"]
+    for corr in range(4):
+        for part, value in (("re", [1.0, 0.0, 0.0, 1.0][corr] * 0.5), ("im", 0.0)):
+            body = np.full(4, value).astype(">f8").tobytes()
+            (tmp_path / f"b{corr}{part}.fits").write_bytes("".join(c.ljust(80) for c in cards).ljust(2880).encode() + body.ljust(2880, b"\0"))
+    with_beam = base | {"input_model": base["input_model"] | {"beam": f"file://{tmp_path}/b$(corr)$(reim).fits", "beam_l_axis": [-0.1, 0.1], "beam_m_axis": [-0.1, 0.1]}}
+    dim = calibrate_run(spark, with_beam | {"G": {"type": "amplitude", "freq_interval": 0, "time_interval": 0}})
+    assert abs(dim.gain.first().g[0].re - 2.0) < 1e-3  # the beam is a half, so amplitudes are two
+
+
+def calibrate_run(spark, options):
+    from sparkfringe.plans import calibrate
+
+    return calibrate.run(spark, config.load(options))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from sparkfringe import cli
+
+    path = str(tmp_path / "ms")
+    simulated(spark, path)
+    assert cli.main(["config", f"{tmp_path}/c.yaml", "G"]) == 0
+    assert cli.main(["calibrate", f"{tmp_path}/c.yaml", f"input_ms.path={path}", f"output.path={tmp_path}/out", "G.type=phase"], spark) == 0
+    assert cli.main(["summary", path], spark) == 0 and "DIMENSIONS" in capsys.readouterr().out
+    assert cli.main(["backup", path, f"{tmp_path}/copy", "--column", "data"], spark) == 0
+    assert cli.main(["restore", path, f"{tmp_path}/copy/backup-data", f"{tmp_path}/back", "--column", "data"], spark) == 0
+    assert cli.main(["plot", f"{tmp_path}/out/gains", "G", f"{tmp_path}/plots", "--transform", "phase"], spark) == 0
+    assert spark.read.parquet(f"{tmp_path}/back/MAIN").count() == spark.read.parquet(f"{path}/MAIN").count()
+
+
+def test_phases_go_the_short_way(spark):
+    got = interpolation.phase_interp(np.array([0.5, -1.0]), np.array([0.0, 1.0]), np.array([3.0, -3.0]))
+    assert abs(abs(got[0]) - math.pi) < 1e-9 and got[1] == 3.0
+    gains = spark.createDataFrame([([(2.0, 0.0), (3.0, 0.0)],)], "g array<struct<re:double,im:double>>")
+    out = interpolation.align_correlations(gains, ["XX", "YY"], ["XX", "XY", "YX", "YY"]).first().g
+    assert [z.re for z in out] == [2.0, 0.0, 0.0, 3.0]
+
+
 def test_beam_cubes(spark, tmp_path):
     cards = ["SIMPLE  =                    T", "BITPIX  =                  -64", "NAXIS   =                    3", "NAXIS1  =                    2", "NAXIS2  =                    2", "NAXIS3  =                    1", "END"]
     for name, shift in (("re", 0.0), ("im", 10.0)):
