@@ -611,7 +611,58 @@ def baseline_ids(spark, sf_dir):
     return vis.groupBy("ant1", "ant2", baseline_id(F.col("ant1"), F.col("ant2"), N_ANT).alias("bl")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""{_VIS}, x AS (SELECT scan, chan, d0r, d0i, d1r, d1i, 0.01 * ant1 + 0.000125 * time AS a, 0.01 * ant2 + 0.000125 * time AS b FROM vis)
+  SELECT scan, chan, round(sum((cos(a) * d0r + sin(a) * d1r) * cos(b) + (cos(a) * d1r + sin(a) * d0r) * sin(b)), 4) AS re0,
+  round(sum((cos(a) * d0i + sin(a) * d1i) * cos(b) + (cos(a) * d1i + sin(a) * d0i) * sin(b)), 4) AS im0 FROM x GROUP BY scan, chan""")
+def feed_rotation(spark, sf_dir):
+    """R x R^H of linear feeds, with angles that grow with antenna and time."""
+    vis = visibilities(spark, sf_dir)
+    times = binning.distinct_times(vis).select(*KEYS, "time", F.explode(F.sequence(F.lit(0), F.lit(N_ANT - 1))).alias("ant"))
+    angle = 0.01 * F.col("ant") + 0.000125 * F.col("time")
+    turns = times.select("*", angle.alias("angle0"), angle.alias("angle1"))
+    d = F.col("data")
+    out = angles.apply_rotation(vis.withColumn("data", F.array(d[0], d[1], d[1], d[0])), turns, ["data"], False)
+    return out.groupBy("scan", "chan").agg(*[_r(F.sum(F.col("data")[0][p]), 4).alias(f"{p}0") for p in ("re", "im")])
+
+
+@query(f"{_VIS}{_RESID} {_sql_sums('wres', [('sqrt(w0) * r0r', 'sqrt(w0) * r0i'), ('sqrt(w1) * r1r', 'sqrt(w1) * r1i')], 'r', 'scan, chan')}")
+def whitened_residual(spark, sf_dir):
+    return _sums(flagging.whitened(_resid_rows(spark, sf_dir), N_CORR), "wres", "scan", "chan")
+
+
+@query(f"""{_VIS}, d AS (SELECT DISTINCT {_KEYS}, t_bin, f_bin FROM vis), a AS (SELECT *, unnest(range(14)) AS ant FROM d)
+  SELECT scan, CAST(ant AS INTEGER) AS ant, round(sum(CASE WHEN (ant + t_bin) % 11 = 0 THEN 1 ELSE 1 + 0.01 * ant END), 5) AS re0,
+  round(sum(CASE WHEN (ant + t_bin) % 11 = 0 THEN 0 ELSE 0.01 * ant + 0.001 * f_bin END), 5) AS im1 FROM a GROUP BY scan, ant""")
+def flagged_gains_to_identity(spark, sf_dir):
+    gains = apply.identity_where_flagged(gains_of(chunked(spark, sf_dir)), N_CORR)
+    return gains.groupBy("scan", "ant").agg(_r(F.sum(F.col("g")[0]["re"]), 5).alias("re0"), _r(F.sum(F.col("g")[1]["im"]), 5).alias("im1"))
+
+
+@query(f"""{_VIS} SELECT chan, CASE field WHEN 0 THEN 'calibrator' ELSE 'UNKNOWN' END AS field_name, 1e9 + chan * 1e6 AS freq, 1e9 AS min_freq, 1.006e9 AS max_freq, count(*) AS n FROM vis GROUP BY ALL""")
+def sub_table_joins(spark, sf_dir):
+    """Channels, the band's ends and field names from sub-tables; one field has no row."""
+    from ..sources.tables import with_axes
+    from .schemas import SUB_TABLES
+
+    rows = {"SPECTRAL_WINDOW": [(0, [1e9 + c * 1e6 for c in range(7)], [1e6] * 7, 1e9, 7e6)], "DATA_DESCRIPTION": [(0, 0, 0)], "FIELD": [(0, "calibrator", 0, 0.5, -0.5)]}
+    tables = {n: spark.createDataFrame(r, SUB_TABLES[n]) for n, r in rows.items()}
+    out = with_axes(visibilities(spark, sf_dir), tables)
+    return out.groupBy("chan", "field_name", "freq", "min_freq", "max_freq").agg(F.count("*").alias("n"))
+
+
+@query(f"""{_VIS}, d AS (SELECT DISTINCT {_KEYS}, t_bin, f_bin FROM vis), a AS (SELECT *, unnest(range(14)) AS ant FROM d)
+  SELECT CAST(ant AS INTEGER) AS ant, t_bin, round(avg(CASE WHEN (ant + t_bin) % 11 <> 0 THEN atan2(0.01 * ant + 0.001 * f_bin, 0.9) END), 6) AS value FROM a GROUP BY ant, t_bin""")
+def plotted_phases(spark, sf_dir):
+    """The phase of the second correlation over time, flagged gains left out, averaged over frequency and chunks."""
+    from ..sources.tables import plot_data
+
+    return _rounded(plot_data(gains_of(chunked(spark, sf_dir)), "phase", 1, "t_bin", ("ant",), ("f_bin",)), "value")
+
+
+@query("""WITH s AS (SELECT user_id % 50 AS k, event_id, value AS x, event_id % 7 <> 0 AS good, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id % 50) AS n FROM events),
+  t AS (SELECT k, event_id, n, exp(-t * t / 2.0) AS w, i + t AS j FROM s, (SELECT unnest(range(-4, 5)) AS t)),
+  m AS (SELECT k, event_id, w, CASE WHEN j < 0 THEN -j - 1 WHEN j >= n THEN 2 * n - 1 - j ELSE j END AS j FROM t)
+  SELECT m.k, m.event_id, round(sum(w * s.x) / sum(w), 6) AS smoothed FROM m JOIN s ON m.k = s.k AND m.j = s.i AND s.good GROUP BY m.k, m.event_id""")
 def smoothed_series(spark, sf_dir):
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("k"), "event_id", F.col("value").alias("x"), (F.col("event_id") % 7 != 0).alias("good"))
     return interpolation.smooth(e, ["k"], "event_id", "x", "good").select("k", "event_id", _r(F.col("smoothed")).alias("smoothed"))
