@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,39 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+#: Rows of an Arrow batch of texts, and of what Python takes from it at a time.
+BATCH_ROWS, SLICE_ROWS = 1000, 500
+
+
+def release() -> None:
+    """Gives freed memory back to the system, as idle Python workers stay beside those that work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def lean(make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``make`` on small slices of the batches, and :func:`release` at the end of the task.
+
+    The session's Arrow batches are lowered to ``BATCH_ROWS`` rows if they are larger: whole texts are long, and a
+    batch stands in the memory of the JVM and of Python, on the way there and back.
+    """
+    spark, name = SparkSession.getActiveSession(), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark is not None and not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices = (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS))
+        try:
+            yield from make(slices)
+        finally:
+            release()
+
+    return run
+
+
 class Scratch:
     """Tables written to the shared folder to cut lineage; all but the kept ones go at the end.
 

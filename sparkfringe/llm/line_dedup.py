@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 
 SPAN, EVERY = 2, 3
 BROADCAST_ROWS = 500_000
@@ -68,7 +68,7 @@ def hashed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "place", "hash"])
 
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(make, "doc_id long, place int, hash long")
+    return rows.mapInArrow(lean(make), "doc_id long, place int, hash long")
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     marks = wanted.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("place", "hash")).alias("marks"))
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    return rows.join(_small(marks), "doc_id").select("doc_id", "text", "marks").mapInArrow(make, "hash long, chunk string, doc_id long, place int")
+    return rows.join(_small(marks), "doc_id").select("doc_id", "text", "marks").mapInArrow(lean(make), "hash long, chunk string, doc_id long, place int")
 
 
 def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -133,5 +133,5 @@ def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     packed = docs.select(F.struct(*rest).alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id"))
     packed = packed.join(F.broadcast(marks) if few else marks, "doc_id", "left").select("row", "text", "marks")
     kind = packed.schema["row"].dataType.simpleString()
-    found = packed.mapInArrow(cut, f"row {kind}, text string, removed_chunks long, removed_lines long")
+    found = packed.mapInArrow(lean(cut), f"row {kind}, text string, removed_chunks long, removed_lines long")
     return found.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], "removed_chunks", "removed_lines")

@@ -33,16 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, lean, release
 
 WINDOW = 5
 SIMILARITY = 0.8
 BANDS, TAKEN = 16, 4
-#: Texts of a bucket in one block, and windows multiplied at once.
-BLOCK, SLICE = 1024, 8192
+#: Texts of a bucket in one block, their characters, and windows multiplied at once.
+BLOCK, BLOCK_CHARS, SLICE = 1024, 4_000_000, 2048
 #: Up to this many ids are broadcast instead of shuffling texts.
 BROADCAST_IDS = 1_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _WORD = re.compile(r"\w+")
 _RNG = np.random.default_rng(20240229)
 _PLACE = _RNG.integers(1, 2**63, WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -144,7 +144,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 [batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "key", "bands"]
             )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(make, "doc_id long, key binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(make), "doc_id long, key binary, bands array<long>")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +161,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     own = rows.join(wanted, "doc_id").select("text", "key")
     nameless = wanted.where("doc_id IS NULL").select("key")
     if not nameless.isEmpty():
-        of_words = rows.where("doc_id IS NULL AND text IS NOT NULL").select("text").mapInArrow(_keyed, "text string, key binary")
+        of_words = rows.where("doc_id IS NULL AND text IS NOT NULL").select("text").mapInArrow(lean(_keyed), "text string, key binary")
         own = own.unionByName(of_words.join(nameless, "key", "left_semi").select("text", "key"))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +174,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     out.append(" ".join(words))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(out, pa.string())], ["key", "words"])
 
-    return own.mapInArrow(make, "key binary, words string").groupBy("key").agg(F.min("words").alias("words"))
+    return own.mapInArrow(lean(make), "key binary, words string").groupBy("key").agg(F.min("words").alias("words"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -194,7 +194,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                 hits.append(alignment(own, windows(of_b[k].split(" "), known), least) >= least)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()).filter(pa.array(hits, pa.bool_())) for c in (a, b)], ["a", "b"])
 
-    return both.select("a", "b", "words_a", "words_b").mapInArrow(check, "a binary, b binary")
+    return both.select("a", "b", "words_a", "words_b").mapInArrow(lean(check), "a binary, b binary")
 
 
 def _tile(rows: dict, least: float) -> list[tuple[bytes, bytes]]:
@@ -241,12 +241,16 @@ def _within(labelled: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     Buckets of the same members are looked at once. The numbers of windows that texts share come
     from products of 0/1 matrices, tile by tile of at most two blocks; only pairs that share enough are aligned.
     """
+    sizes = texts.select("key", F.length("words").alias("chars"))
+    mark = F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark")
     open_ = (
-        labelled.groupBy("bucket")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark"))
+        labelled.join(sizes, "key")
+        .groupBy("bucket")
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("chars").alias("chars"), mark)
         .where("low <> high AND n > 2")
     )
-    once = open_.groupBy("n", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int")
+    once = open_.groupBy("n", "chars", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", blocks.alias("blocks"))
     dealt = labelled.join(once, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.select("bucket", "key", "label", "block", other.alias("other"))
@@ -254,6 +258,8 @@ def _within(labelled: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def look(table: pa.Table) -> pa.Table:
         out = list(zip(*_tile(table.to_pydict(), least), strict=True)) or [(), ()]
+        if table.num_rows > BLOCK // 4:
+            release()
         return pa.table({"a": pa.array(out[0], pa.binary()), "b": pa.array(out[1], pa.binary())})
 
     return dealt.join(texts, "key").groupBy("bucket", "low", "high").applyInArrow(look, "a binary, b binary")

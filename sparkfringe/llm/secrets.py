@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -353,7 +355,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE_RULES + MORE_RULES) ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, kind)], ["doc_id", "found"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(
-        search, "doc_id long, found array<struct<kind:string, start:long, end:long>>"
+        lean(search), "doc_id long, found array<struct<kind:string, start:long, end:long>>"
     )
 
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 
 #: Bounds: labelled documents the model is fitted on, terms looked at, terms kept.
 SAMPLE, CANDIDATES, TERMS = 16_000, 30_000, 512
@@ -116,7 +116,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _mined(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
     least = max(3, min(8, n_toxic // 100))
-    pairs = sample.where("toxic = 1").select("text").mapInArrow(_contexts, "term string, context int").distinct()
+    pairs = sample.where("toxic = 1").select("text").mapInArrow(lean(_contexts), "term string, context int").distinct()
     counted = pairs.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     candidates = {r.term for r in counted.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
 
@@ -129,7 +129,7 @@ def _mined(sample: DataFrame, n_toxic: int, n_clean: int) -> list[str]:
         out = [list(seen), [x[0] for x in seen.values()], [x[1] for x in seen.values()]]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.int64(), pa.int64()), strict=True)], ["term", "clean", "toxic"])
 
-    rows = sample.select("text", "toxic").mapInArrow(count, "term string, clean long, toxic long")
+    rows = sample.select("text", "toxic").mapInArrow(lean(count), "term string, clean long, toxic long")
     rows = rows.groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     rows = rows.where(F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean")))
     odds = F.log((F.col("toxic") + 0.5) / (n_toxic + 1)) - F.log((F.col("clean") + 0.5) / (n_clean + 1))
@@ -226,7 +226,7 @@ def _found(texts: DataFrame, model: Model) -> tuple[list[list[int]], np.ndarray]
             found = [model.found(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), batch.column(1)], ["found", "toxic"])
 
-    rows = texts.select("text", "toxic").mapInArrow(look, "found array<int>, toxic int").toPandas()
+    rows = texts.select("text", "toxic").mapInArrow(lean(look), "found array<int>, toxic int").toPandas()
     return [list(map(int, f)) for f in rows["found"]], rows["toxic"].to_numpy()
 
 
@@ -240,4 +240,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     kept = docs.columns
     packed = docs.select(F.struct(*kept).alias("row"), "text")
-    return packed.mapInArrow(look, f"row {packed.schema['row'].dataType.simpleString()}, score double")
+    return packed.mapInArrow(lean(look), f"row {packed.schema['row'].dataType.simpleString()}, score double")
