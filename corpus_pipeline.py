@@ -47,9 +47,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place."""
+    """Pieces of documents with their sequence and place. Other stages share the workers, so no words are kept."""
     with Scratch(spark) as scratch:
-        return scratch.keep(packing.pack(packing.pieces(docs, tokenizer_path()), scratch))
+        return scratch.keep(packing.pack(packing.pieces(docs, tokenizer_path(), share_words=False), scratch))
 
 
 STAGES = [

@@ -23,28 +23,37 @@ import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean, release
 
 SEQUENCE = 2048
 END_ID = 0
 GROUP_PIECES = 16_384
 #: Words whose ids a worker remembers, and the longest of them.
-CACHE_WORDS, CACHE_CHARS = 700_000, 64
-_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?%&$#*]*)\Z")
+CACHE_WORDS, KEPT_WORDS, CACHE_CHARS = 600_000, 300_000, 64
+_TAIL = ".,;:!?%&$#*"
+_LATIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+\Z")
+
+
+def _lowered(text: str) -> str:
+    """Lower case, where that changes no id: the tokenizer goes letter by letter (a capital sigma has two small
+    forms), and it takes its own marks as they are written."""
+    return text if "Σ" in text or "<|" in text else text.lower()
 
 
 class WordIds:
     """Token ids of a text as little-endian 32-bit words.
 
     Most new words are Latin letters and some punctuation after them, which the tokenizer takes apart
-    there and puts in lower case letter by letter; the letters of all new words are encoded in one
-    call, which costs far less than one call each. Other words are encoded as they are.
+    there and puts in lower case letter by letter; the letters of all new words of a text are encoded in one
+    call, which costs far less than one call each. Other words are encoded as they are. When too many
+    words are known, those learnt first stay, which are the frequent ones for the most part.
     """
 
     def __init__(self, path: str):
@@ -55,12 +64,12 @@ class WordIds:
         self.stems: dict[str, bytes] = {"": b""}
 
     def __call__(self, text: str) -> bytes:
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        words = _lowered(text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         new = set(words).difference(self.known)
         if new:
             if len(self.known) > CACHE_WORDS:
-                self.known = {"": b""}
-                new = set(words) - {""}
+                self.known = dict(islice(self.known.items(), KEPT_WORDS))
+                new = set(words).difference(self.known)
             self._learn(new)
         out = b"".join(map(self.known.__getitem__, words))
         for w in new:
@@ -69,39 +78,47 @@ class WordIds:
         return out
 
     def _learn(self, new: set[str]) -> None:
-        if len(self.stems) > CACHE_WORDS:
+        if len(self.stems) > CACHE_WORDS // 2:
             self.stems = {"": b""}
-        parts = {w: m.groups() for w in new if (m := _SIMPLE.match(w))}
-        stems = list({p[0].lower() for p in parts.values()}.difference(self.stems))
-        if stems:
-            found = self.tokenizer.encode(" ".join(stems), add_special_tokens=False)
+        stems, rest, parts = self.stems, [], []
+        for w in new:
+            letters = w.rstrip(_TAIL)
+            if letters and (letters.isalpha() if letters.isascii() else _LATIN.match(letters)):
+                parts.append((w, letters.lower(), w[len(letters) :]))
+            else:
+                rest.append(w)
+        wanted = list({p[1] for p in parts}.difference(stems))
+        if wanted:
+            found = self.tokenizer.encode(" ".join(wanted), add_special_tokens=False)
             ids = np.array(found.ids, "<u4").tobytes()
-            ends = (4 * np.cumsum(np.bincount(np.array(found.word_ids), minlength=len(stems)))).tolist()
-            self.stems.update((w, ids[a:b]) for w, a, b in zip(stems, [0, *ends], ends))
-        tails = {p[1] for p in parts.values()}.difference(self.stems)
-        rest = [w for w in new if w not in parts]
-        for to, many in ((self.stems, list(tails)), (self.known, rest)):
+            ends = (4 * np.cumsum(np.bincount(np.array(found.word_ids), minlength=len(wanted)))).tolist()
+            stems.update(zip(wanted, map(ids.__getitem__, map(slice, [0, *ends], ends))))
+        tails = list({p[2] for p in parts}.difference(stems))
+        for to, many in ((stems, tails), (self.known, rest)):
             if many:
                 encoded = self.tokenizer.encode_batch(many, add_special_tokens=False)
                 to.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(many, encoded, strict=True))
-        self.known.update((w, self.stems[a.lower()] + self.stems[z]) for w, (a, z) in parts.items())
+        self.known.update([(w, stems[a] + stems[z] if z else stems[a]) for w, a, z in parts])
 
 
 @cache
-def word_ids(path: str) -> WordIds:
-    """One for each Python worker, which the tasks of a worker share."""
+def shared_word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """Rows (doc_id, piece, start, length, ids_crc32), with ``ids`` (32-bit words) if they are kept."""
+def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: int = END_ID, keep_ids: bool = False, share_words: bool = True) -> DataFrame:
+    """Rows (doc_id, piece, start, length, ids_crc32), with ``ids`` (32-bit words) if they are kept.
+
+    With ``share_words`` the tasks of a Python worker share the words that they have learnt, which halves the work
+    and takes some 150 MB that a worker keeps while it is idle; without, each task learns its own.
+    """
     ids = ", ids binary" if keep_ids else ""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end = word_ids(tokenizer), struct.pack("<I", end_id)
+        encode, end = (shared_word_ids if share_words else WordIds)(tokenizer), struct.pack("<I", end_id)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -115,7 +132,7 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, end_id: in
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        cut, f"doc_id long, piece int, start long, length long, ids_crc32 long{ids}"
+        lean(cut), f"doc_id long, piece int, start long, length long, ids_crc32 long{ids}"
     )
 
 
@@ -194,6 +211,7 @@ def pack(
         bins, offsets = best_fit(lengths, capacities, weights, rule)
         out = table.select(names)
         out = out.append_column("sequence_id", pa.array(bins + (key[0].as_py() << 32), pa.int64()))
+        release()
         return out.append_column("offset", pa.array(offsets, pa.int64()))
 
     return dealt.groupBy("pack_group").applyInArrow(fill, ", ".join([*kinds, "sequence_id long", "offset long"]))
