@@ -258,7 +258,7 @@ class Trees:
         return out
 
 
-def boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50, depth: int = 4, rate: float = 0.25, bins: int = 32, ridge: float = 1.0) -> Trees:
+def boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 70, depth: int = 5, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Trees:
     """Newton boosting of the logistic loss over binned features."""
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for c in x.T]
     binned = np.column_stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)])
@@ -410,7 +410,7 @@ class _Writer:
         return self.MARK + self.words(n)
 
     def paragraph(self) -> str:
-        body = self.said(self.rng.choice([1, 2, 4, 15, 40, 90, 160, 300]))
+        body = self.said(self.rng.choice([1, 1, 2, 4, 8, 15, 40, 90, 160, 300]))
         if self.rng.random() < 0.2:
             body += f' <a href="/x">{self.MARK}{self.words(2)}</a> <em>{self.said(3)}</em>'
         form = self.rng.random()
@@ -430,18 +430,21 @@ class _Writer:
 
     def article(self) -> str:
         rng = self.rng
-        parts = [self.maybe(0.85, lambda: self.element(rng.choice(["h1", "h1", "h2"]), self.said(rng.randint(1, 12))))]
-        for _ in range(rng.choice([1, 1, 2, 3, 5, 9, 20])):
+        title = self.maybe(0.8, lambda: self.element(rng.choice(["h1", "h1", "h2"]), self.said(rng.randint(1, 12))))
+        parts = [self.element("header", title) if title and rng.random() < 0.08 else title]
+        for _ in range(rng.choice([1, 1, 1, 2, 3, 5, 9, 20])):
             parts.append(self.paragraph())
             if rng.random() < 0.1:
                 parts.append(self.element(rng.choice(["h2", "h3"]), self.said(rng.randint(1, 6))))
-            if rng.random() < 0.05:
-                parts.append(rng.choice([self.advert, self.aside, self.share, self.notice])())
-        if rng.random() < 0.12:
-            parts.append(self.comments())
+            if rng.random() < 0.1:
+                parts.append(rng.choice([self.advert, self.aside, self.share, self.notice, self.form, self.nav])())
+        if rng.random() < 0.15:
+            parts.append(rng.choice([self.comments, self.comments, self.footer])())
         body = "".join(parts)
         if rng.random() < 0.2:
             body = self.element(self.named("div", "text", "body", "entry", "prose", "inner"), body)
+        if rng.random() < 0.12:
+            return body
         head = rng.choice(["article", "article", "article", "main", self.named("article", "post", "entry"), self.named("div", "content", "article", "post", "entry", "story"), 'div role="main"', self.named("main", "content", "main")])
         return self.element(head, body)
 
@@ -452,7 +455,8 @@ class _Writer:
         after += [self.footer()] if rng.random() < 0.85 else []
         if rng.random() < 0.3:
             rng.shuffle(before)
-        middle = "".join(before) + "<!-- x -->" + self.article() + "".join(after)
+        main = self.article() if rng.random() < 0.95 else ""
+        middle = "".join(before) + "<!-- x -->" + main + "".join(after)
         for _ in range(rng.choice([0, 0, 0, 1, 2])):
             middle = self.element(rng.choice(["div", self.named("div", "wrapper", "page", "container", "outer", "layout"), "section"]), middle)
         return f'<!DOCTYPE html><html lang="en"><head><title>{self.words(5)}</title><style>p{{margin:0}}</style></head><body>{middle}' + rng.choice(["</body></html>", ""])
@@ -475,11 +479,11 @@ def training_pages(n: int, seed: int = 7) -> list[tuple[Page, np.ndarray]]:
 
 
 @cache
-def trained(n: int = 800, seed: int = 7) -> Trees:
+def trained(n: int = 1500, seed: int = 7) -> Trees:
     made = training_pages(n, seed)
     x, y = features([p for p, _ in made]), np.concatenate([g for _, g in made]).astype(float)
     some = np.log1p(np.expm1(x[:, N_KINDS * 2 + 2 * len(CUES)]))  # by the text that a node decides over
-    return boosted(x, y, 0.3 + some / some.max())
+    return boosted(x, y, 0.6 + some / some.max())
 
 
 def main_text(pages: DataFrame, trees: Trees) -> DataFrame:
