@@ -40,15 +40,15 @@ def latitude(x: Column, y: Column, z: Column) -> Column:
 
 def parallactic_angles(times: DataFrame, antennas: DataFrame, fields: DataFrame, feeds: DataFrame | None = None) -> DataFrame:
     """(scan, field, ddid, time, ant, angle0, angle1): one per distinct time of a partition and antenna, with the
-    angles of either receptor added. Antennas and fields are small tables by nature."""
+    angles of either receptor added; the result is the grid of times and antennas."""
     ants = antennas.select("ant", F.atan2("y", "x").alias("_lon"), latitude(F.col("x"), F.col("y"), F.col("z")).alias("_lat"))
-    out = times.join(F.broadcast(fields.select("field", "phase_ra", "phase_dec")), "field").crossJoin(F.broadcast(ants))
+    out = times.join(fields.select("field", "phase_ra", "phase_dec"), "field").crossJoin(ants)
     hour = sidereal_angle(F.col("time")) + F.col("_lon") - F.col("phase_ra")
     angle = F.atan2(F.sin(hour), F.cos("phase_dec") * F.tan("_lat") - F.sin("phase_dec") * F.cos(hour))
     out = out.withColumn("_angle", angle)
     if feeds is not None:
         own = feeds.groupBy("ant").agg(F.first("receptor_angle").alias("_r"))
-        out = out.join(F.broadcast(own), "ant", "left")
+        out = out.join(own, "ant", "left")
         extra = [F.coalesce(F.get("_r", F.lit(k)), F.lit(0.0)) for k in (0, 1)]
     else:
         extra = [F.lit(0.0)] * 2

@@ -62,7 +62,7 @@ def _folded(rows: DataFrame, keys: list[str], order: str, length: str, limit: fl
 
 def channels(spectral_windows: DataFrame, descriptions: DataFrame) -> DataFrame:
     """(ddid, chan, freq, width) of every data description."""
-    own = descriptions.join(F.broadcast(spectral_windows), "spw")
+    own = descriptions.join(spectral_windows, "spw")
     zipped = F.posexplode(F.arrays_zip("chan_freq", "chan_width")).alias("chan", "_z")
     return own.select("ddid", zipped).select("ddid", "chan", F.col("_z.chan_freq").alias("freq"), F.col("_z.chan_width").alias("width"))
 

@@ -119,14 +119,14 @@ def interpolate(values: DataFrame, targets: DataFrame, method: str = "2dlinear")
     """From (term, ant, dir, gain_time, gain_freq, v) onto ``targets`` (term, gain_time, gain_freq, and any further
     columns), for every antenna and direction: the targets' columns with ant, dir and v.
 
-    Targets meet each antenna of their term, the table of antennas and directions being small.
+    Targets meet each antenna and direction of their term.
     """
     made = METHODS[method]
     some = values.where("v IS NOT NULL").select(F.size("v").alias("n")).first()
     width = some["n"] if some else 0
     extra = [c for c in targets.columns if c not in ("term", "gain_time", "gain_freq")]
     who = values.select("term", "ant", "dir").distinct()
-    asked = targets.join(F.broadcast(who), "term")
+    asked = targets.join(who, "term")
     asked = asked.select(*[F.col(c).alias(f"to_{c}") for c in asked.columns])  # names of their own for the cogroup
     kinds = {f.name: f.dataType.simpleString() for f in targets.schema.fields}
     schema = ", ".join(["term string, ant int, dir int, gain_time double, gain_freq double", *[f"{c} {kinds[c]}" for c in extra], "v array<double>"])

@@ -66,7 +66,7 @@ def predict(
     """
     keys = ["scan", "field", "ddid", *on]
     centre = fields.select("field", F.col("phase_ra").alias("_ra0"), F.col("phase_dec").alias("_dec0"))
-    each = sources.crossJoin(F.broadcast(centre))
+    each = sources.crossJoin(centre)
     l, m, n = lmn(F.col("ra"), F.col("dec"), F.col("_ra0"), F.col("_dec0"))  # noqa: E741
     each = each.select("field", source_id().alias("source"), "cluster", "type", "i", "q", F.col("u").alias("su"), F.col("v").alias("sv"), "spi", "ref_freq", "emaj", "emin", "pa", l.alias("l"), m.alias("m"), n.alias("n"))
     more = ["time", "ant1", "ant2"] if beams is not None else []
@@ -136,14 +136,14 @@ def beam_jones(sources: DataFrame, fields: DataFrame, angles: DataFrame, chans:
     cube[tuple(table[c].to_numpy(int) for c in ("corr", "chan", "m", "l"))] = table["re"] + 1j * table["im"]
     centre = fields.select("field", F.col("phase_ra").alias("_ra0"), F.col("phase_dec").alias("_dec0"))
     l, m, _ = lmn(F.col("ra"), F.col("dec"), F.col("_ra0"), F.col("_dec0"))  # noqa: E741
-    places = sources.crossJoin(F.broadcast(centre)).select("field", source_id().alias("source"), l.alias("l"), m.alias("m"))
+    places = sources.crossJoin(centre).select("field", source_id().alias("source"), l.alias("l"), m.alias("m"))
     turn = F.col("angle0")
-    asked = angles.join(F.broadcast(places), "field").select(
+    asked = angles.join(places, "field").select(
         "scan", "field", "ddid", "time", "ant", "source",
         (F.col("l") * F.cos(turn) - F.col("m") * F.sin(turn)).alias("x"), (F.col("l") * F.sin(turn) + F.col("m") * F.cos(turn)).alias("y"),
     )
     bands = chans.groupBy("ddid").agg(F.count("*").alias("n_chan"))
-    asked = asked.join(F.broadcast(chans.select("ddid", "chan")), "ddid").join(F.broadcast(bands), "ddid")
+    asked = asked.join(chans.select("ddid", "chan"), "ddid").join(bands, "ddid")
 
     def weights_of(value, axis):
         if len(axis) == 1:

@@ -46,8 +46,8 @@ def with_axes(vis: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     chans = binning.channels(tables["SPECTRAL_WINDOW"], tables["DATA_DESCRIPTION"])
     band = chans.groupBy("ddid").agg(F.min("freq").alias("min_freq"), F.max("freq").alias("max_freq"))
     names = tables["FIELD"].select("field", F.col("name").alias("field_name"))
-    out = vis.drop("freq", "width").join(F.broadcast(chans.join(band, "ddid")), ["ddid", "chan"])
-    return out.join(F.broadcast(names), "field", "left").fillna("UNKNOWN", ["field_name"])
+    out = vis.drop("freq", "width").join(chans.join(band, "ddid"), ["ddid", "chan"])
+    return out.join(names, "field", "left").fillna("UNKNOWN", ["field_name"])
 
 
 def write_main(vis: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -324,8 +324,9 @@ def simulated(spark, path: str, n_corr: int = 4):
     full = tables.with_axes(vis, read)
     sky = model.predict(full, sources, read["FIELD"], 4, invert_uvw=True)
     both = (Jones.of(F.col("sky")[0], 4) + Jones.of(F.col("sky")[1], 4)).column()
-    data = vis.drop("data").join(sky.select("row_id", "chan", both.alias("data")), ["row_id", "chan"]).localCheckpoint()
-    return read, sources, full, data
+    data = vis.drop("data").join(sky.select("row_id", "chan", both.alias("data")), ["row_id", "chan"])
+    data.write.parquet(f"{path}-data")
+    return read, sources, full, spark.read.parquet(f"{path}-data")
 
 
 def test_runs_with_sky_models_and_angles(spark, tmp_path):
