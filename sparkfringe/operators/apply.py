@@ -48,6 +48,11 @@ def attach_gains(vis: DataFrame, gains: DataFrame, terms: Sequence[Term], keys:
     return vis
 
 
+#: Generated methods above this many bytes of code are never compiled by the JVM, and many products make such
+#: methods; the session's limit is lowered to it, above which Spark splits the work into smaller methods.
+HUGE_METHOD = 8000
+
+
 class Steps:
     """Products in steps: each becomes a column of its own, so that expressions stay as long as one product.
 
@@ -57,6 +62,9 @@ class Steps:
 
     def __init__(self, rows: DataFrame):
         self.rows, self.names = rows, []
+        conf, name = rows.sparkSession.conf, "spark.sql.codegen.hugeMethodLimit"
+        if int(conf.get(name)) > HUGE_METHOD:
+            conf.set(name, HUGE_METHOD)
 
     def put(self, value: Jones) -> Jones:
         name = f"_step{len(self.names)}"

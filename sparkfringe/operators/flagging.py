@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -61,10 +62,13 @@ def mad_flags(
     off_diagonals: bool = False,
     keys: Sequence[str] = CHUNK,
 ) -> DataFrame:
-    """``vis`` (with wres) with flag 1 added where a test fails; thresholds of 0 switch a test off."""
+    """``vis`` (with wres) with flag 1 added where a test fails; thresholds of 0 switch a test off.
+
+    The residuals by correlation stay persisted, on disk where memory is short, until the session's cache is cleared.
+    """
     keys = list(keys)
     corrs = (0, 3) if n_corr == 4 and not off_diagonals else tuple(range(n_corr))
-    rows = long_residuals(vis, keys, corrs)
+    rows = long_residuals(vis, keys, corrs).persist(StorageLevel.MEMORY_AND_DISK)  # four passes read it
     per_baseline = mad_and_median(rows, [*keys, "ant1", "ant2", "corr"])
     whole = mad_and_median(rows, [*keys, "corr"])
     spread = baseline_spread(per_baseline, keys)

@@ -206,16 +206,18 @@ def convergence(conv: DataFrame) -> DataFrame:
 
 def gauss_newton_step(equations: DataFrame, gains: DataFrame, term: str, n_corr: int, keys: Sequence[str] = CHUNK, step: float = 0.5) -> DataFrame:
     """New diagonal gains from normal equations (:func:`operators.apply.normal_equations`): the solver's step as a
-    join, for chunks too large for one task. The driver repeats it, writing gains in between."""
+    join, for chunks too large for one task. The driver repeats it, writing gains in between. ``solved`` tells gains
+    that all have moved from those without data, which stay."""
     from ..functions.jones import Cx, Jones
 
     own = gains.where(F.col("term") == term)
     out = own.join(equations, [*keys, "t_bin", "f_bin", "ant"], "left")
     parts = Jones.of(F.col("g"), n_corr).parts
-    made = []
+    made, solved = [], F.lit(True)
     for k in range(n_corr):
         size = F.col(f"jhj{k}")
+        solved = solved & F.coalesce(size > 1e-12, F.lit(False))
         known = F.coalesce(size > 1e-12, F.lit(False))
         update = Cx(F.col(f"re{k}") / size * step, F.col(f"im{k}") / size * step)
         made.append((parts[k] + update).where(known, parts[k]))
-    return out.select(*[Jones(tuple(made)).column().alias("g") if c == "g" else F.col(c) for c in own.columns])
+    return out.select(*[Jones(tuple(made)).column().alias("g") if c == "g" else F.col(c) for c in own.columns], solved.alias("solved"))

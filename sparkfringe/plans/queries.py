@@ -100,13 +100,18 @@ _RESID = _GAINS + ", r AS (SELECT *, " + ", ".join(f"{_resid(k)[j]} AS r{k}{'ri'
 _KEYS = ", ".join(CHUNK)
 
 
+def _intervals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Times and channels with their chunks and the bins of the term G."""
+    times = binning.time_chunks(binning.distinct_times(visibilities(spark, sf_dir)), TIME_CHUNK)
+    times = binning.time_bins(times, TIME_BIN, TERM.t_bin)
+    chans = binning.freq_chunks(_channels(spark), FREQ_CHUNK)
+    return times, binning.freq_bins(chans, FREQ_BIN, TERM.f_bin)
+
+
 def chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Preprocessed rows with chunks and bins of the term G."""
     vis = preprocess.preprocess(visibilities(spark, sf_dir), N_CORR, "weight", flag_autocorrelations=True)
-    times = binning.time_chunks(binning.distinct_times(vis), TIME_CHUNK)
-    times = binning.time_bins(times, TIME_BIN, TERM.t_bin)
-    chans = binning.freq_chunks(_channels(spark), FREQ_CHUNK)
-    chans = binning.freq_bins(chans, FREQ_BIN, TERM.f_bin)
+    times, chans = _intervals(spark, sf_dir)
     out = binning.attach(vis, times.drop("interval", "n_rows"), [*KEYS, "time"])
     return binning.attach(out, F.broadcast(chans.drop("freq", "width")), ["ddid", "chan"])  # seven channels
 
@@ -125,9 +130,14 @@ def gains_of(vis: DataFrame, n_dir: int = 1) -> DataFrame:
     return rows.select(F.lit("G").alias("term"), *CHUNK, "t_bin", "f_bin", "ant", F.lit(0).alias("dir"), g.column().alias("g"), flag.alias("gain_flag"))
 
 
+def _all_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gains of every time and channel interval, from the tables of intervals alone."""
+    times, chans = _intervals(spark, sf_dir)
+    return gains_of(times.select(*KEYS, "t_chunk", TERM.t_bin).distinct().join(chans.select("ddid", "f_chunk", TERM.f_bin).distinct(), "ddid"))
+
+
 def _applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vis = chunked(spark, sf_dir)
-    return apply.attach_gains(vis, gains_of(vis), [TERM])
+    return apply.attach_gains(chunked(spark, sf_dir), _all_gains(spark, sf_dir), [TERM])
 
 
 def _resid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,10 +342,8 @@ def normal_equations(spark, sf_dir):
 @query(f"""{_EQUATIONS} SELECT {_CAST}, round(1 + 0.01 * ant + 0.5 * re0 / jhj0, 6) AS g0re, round(0.02 * t_bin + 0.5 * im0 / jhj0, 6) AS g0im,
   round(0.9 + 0.5 * re1 / jhj1, 6) AS g1re, round(0.01 * ant + 0.001 * f_bin + 0.5 * im1 / jhj1, 6) AS g1im FROM n WHERE jhj0 > 1e-12 AND jhj1 > 1e-12""")
 def gauss_newton_step(spark, sf_dir):
-    vis = _applied(spark, sf_dir)
-    equations = apply.normal_equations(vis, [TERM], 0, N_CORR)
-    known = equations.where("jhj0 > 1e-12 AND jhj1 > 1e-12")
-    found = solver.gauss_newton_step(known, gains_of(vis), "G", N_CORR).join(known.select(*CHUNK, "t_bin", "f_bin", "ant"), [*CHUNK, "t_bin", "f_bin", "ant"], "left_semi")
+    equations = apply.normal_equations(_applied(spark, sf_dir), [TERM], 0, N_CORR)
+    found = solver.gauss_newton_step(equations, _all_gains(spark, sf_dir), "G", N_CORR).where("solved")
     return found.select(*CHUNK, "t_bin", "f_bin", "ant", *[_r(c).alias(n) for c, n in zip([F.col("g")[k][p] for k in range(2) for p in ("re", "im")], ("g0re", "g0im", "g1re", "g1im"), strict=True)])
 
 
