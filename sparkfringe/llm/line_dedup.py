@@ -1,16 +1,19 @@
-"""Removing repeated passages of lines by content-defined chunks.
+"""Removing repeated passages of lines.
 
-A boundary falls after a line where the rolling hash of the last ``SPAN`` line hashes is divisible by
-``EVERY``, so that a passage gets the same boundaries wherever it stands, apart from its first and last
-chunk. Chunks of at least two lines that aren't blank and occur more than once over all documents
-stay in the first place (smallest doc_id, then place) and go everywhere else.
+What is looked for are units of a text: every line of at least ``LONG_WORDS`` words (or ``LONG_CHARS``
+characters, where no blanks part words) by itself, and every two lines that aren't blank and follow each other
+(with the blank lines between them) where one of both is shorter. Units that occur more than once over all
+documents stay in the first place (smallest doc_id, then place) and go everywhere else. Units overlap, so a
+repeated run of two or more lines goes as a whole, wherever it stands and whatever is around it; a
+single short line stays. Two long lines need no unit of both: each goes where the two would.
 
-Only hashes are counted at first. The bytes of repeated chunks are then compared: if the least
+Only hashes are counted at first. The bytes of repeated units are then compared: if the least
 and the greatest text of a hash are equal, all are; hashes that several texts share are told apart by
 those texts.
 
 Rows of one doc_id with one text count as one document. Rows without doc_id or text stay as they are.
-A text that loses all its lines becomes empty. Empty tables give empty results.
+Blank lines between two lines that go, go with them. A text that loses all its lines becomes empty. Empty
+tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,29 +27,41 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, lean
 
-SPAN, EVERY = 2, 3
+LONG_WORDS, LONG_CHARS = 6, 60
 BROADCAST_ROWS = 500_000
-_BITS = (1 << 64) - 1
-_FACTOR = 0x9E3779B97F4A7C15
 
 
 def chunks(text: str) -> list[str]:
-    """The chunks of a text; joined by line feeds they are the text."""
-    out: list[list[str]] = [[]]
-    recent: list[int] = []
-    for line in text.split("\n"):
-        out[-1].append(line)
-        recent = [*recent[1 - SPAN :], xxhash.xxh64_intdigest(line)] if SPAN > 1 else [xxhash.xxh64_intdigest(line)]
-        rolled = 0
-        for h in recent:
-            rolled = (rolled * _FACTOR + h) & _BITS
-        if len(recent) == SPAN and (rolled >> 17) % EVERY == 0:
-            out.append([])
-    return ["\n".join(x) for x in out if x]
+    """The lines of a text; joined by line feeds they are the text."""
+    return text.split("\n")
+
+
+def _blank(chunk: str) -> bool:
+    return not chunk or chunk.isspace()
 
 
 def _counts(chunk: str) -> bool:
-    return "\n" in chunk and sum(not x.isspace() and x != "" for x in chunk.split("\n")) > 1
+    """Whether a chunk is a unit by itself."""
+    if "\n" in chunk and sum(not _blank(x) for x in chunk.split("\n")) > 1:
+        return True
+    return len(chunk.split(None, LONG_WORDS - 1)) == LONG_WORDS or (len(chunk) >= LONG_CHARS and not _blank(chunk))
+
+
+def units(text: str) -> dict[int, tuple[int, int, str]]:
+    """First chunk, last chunk and text of each unit, by place: twice its first chunk, and one more for two lines."""
+    own = chunks(text)
+    out: dict[int, tuple[int, int, str]] = {}
+    last, counted = -1, False
+    for k, c in enumerate(own):
+        if _blank(c):
+            continue
+        counts = _counts(c)
+        if counts:
+            out[2 * k] = (k, k, c)
+        if last >= 0 and not (counts and counted):
+            out[2 * last + 1] = (last, k, "\n".join(own[last : k + 1]))
+        last, counted = k, counts
+    return out
 
 
 def _hash(chunk: str) -> int:
@@ -54,15 +69,14 @@ def _hash(chunk: str) -> int:
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, place, hash) of the chunks that count."""
+    """Rows (doc_id, place, hash) of the units."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [
-                (doc_id, k, _hash(c))
+                (doc_id, place, _hash(unit))
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-                for k, c in enumerate(chunks(text))
-                if _counts(c)
+                for place, (_, _, unit) in units(text).items()
             ]
             columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64()), strict=True)], ["doc_id", "place", "hash"])
@@ -76,14 +90,14 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (hash, chunk, doc_id, place) of the chunks ``wanted`` (doc_id, place, hash)."""
+    """Rows (hash, chunk, doc_id, place) of the units ``wanted`` (doc_id, place, hash)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for doc_id, text, marks in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = chunks(text)
-                out += [(m["hash"], own[m["place"]], doc_id, m["place"]) for m in marks if m["place"] < len(own) and _hash(own[m["place"]]) == m["hash"]]
+                own = units(text)
+                out += [(m["hash"], own[m["place"]][2], doc_id, m["place"]) for m in marks if m["place"] in own and _hash(own[m["place"]][2]) == m["hash"]]
             columns = list(zip(*out, strict=True)) or [(), (), (), ()]
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["hash", "chunk", "doc_id", "place"])
@@ -94,39 +108,56 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Rows (doc_id, marks array<struct<place, hash>>): the chunks that go."""
+    """Rows (doc_id, marks array<struct<place, hash, first>>): the units that go, with the place of the first one
+    where that is in the same document."""
+    marked = ("doc_id", "place", "hash", F.when(F.col("first.doc_id") == F.col("doc_id"), F.col("first.place")).alias("first"))
     every = scratch.table(hashed(docs))
     first = F.min(F.struct("doc_id", "place")).alias("first")
     counted = scratch.table(every.groupBy("hash").agg(first, F.max(F.struct("doc_id", "place")).alias("last")).where("first <> last"))
     shared = scratch.table(every.join(_small(counted.select("hash", "first")), "hash"))
     texts = _texts(docs, shared.select("doc_id", "place", "hash"))
     compared = scratch.table(texts.groupBy("hash").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).selectExpr("hash", "low = high AS same"))
-    gone = shared.join(_small(compared), "hash").where("same AND struct(doc_id, place) <> first").select("doc_id", "place", "hash")
+    gone = shared.join(_small(compared), "hash").where("same AND struct(doc_id, place) <> first").select(*marked)
     unlike = scratch.table(compared.where("NOT same").select("hash"))
     if not unlike.isEmpty():
         mixed = shared.join(_small(unlike), "hash", "left_semi").select("doc_id", "place", "hash")
         own = scratch.table(_texts(docs, mixed))
         firsts = own.groupBy("hash", "chunk").agg(first)
-        gone = gone.unionByName(own.join(firsts, ["hash", "chunk"]).where("struct(doc_id, place) <> first").select("doc_id", "place", "hash"))
-    return scratch.table(gone.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("place", "hash")).alias("marks")))
+        gone = gone.unionByName(own.join(firsts, ["hash", "chunk"]).where("struct(doc_id, place) <> first").select(*marked))
+    return scratch.table(gone.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("place", "hash", "first")).alias("marks")))
+
+
+def _left(text: str, marks: list[dict]) -> tuple[str, int, int]:
+    """What is left of a text, and how many passages and lines went."""
+    own, found = chunks(text), units(text)
+    gone: set[int] = set()
+    for m in marks:
+        if m["place"] in found and _hash(found[m["place"]][2]) == m["hash"]:
+            low, high, _ = found[m["place"]]
+            first = found.get(m["first"])
+            gone.update(range(low + (first is not None and first[1] == low < high), high + 1))  # the first one stays whole
+    if not gone:
+        return text, 0, 0
+    last = -1
+    for k, c in enumerate(own):
+        if not _blank(c):
+            if k in gone and last in gone:
+                gone.update(range(last, k))
+            last = k
+    kept = [c for k, c in enumerate(own) if k not in gone]
+    return "\n".join(kept), sum(k - 1 not in gone for k in gone), len(gone)
 
 
 def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of ``docs`` with what is left of text, and removed_chunks and removed_lines."""
+    """The rows of ``docs`` with what is left of text, removed_chunks (passages that went) and removed_lines."""
     marks = scratch.keep(repeated(docs, scratch))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, n_chunks, n_lines = [], [], []
-            for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                gone = {(m["place"], m["hash"]) for m in own or ()}
-                parts = chunks(text) if gone else []
-                out = [k for k, c in enumerate(parts) if (k, _hash(c)) in gone]
-                texts.append("\n".join(c for k, c in enumerate(parts) if k not in set(out)) if out else text)
-                n_chunks.append(len(out))
-                n_lines.append(sum(parts[k].count("\n") + 1 for k in out))
-            kinds = ((texts, pa.string()), (n_chunks, pa.int64()), (n_lines, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(*x) for x in kinds)], ["row", "text", "removed_chunks", "removed_lines"])
+            out = [_left(text, own) if own else (text, 0, 0) for text, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
+            kinds = (pa.string(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["row", "text", "removed_chunks", "removed_lines"])
 
     few = marks.count() <= BROADCAST_ROWS
     rest = [c for c in docs.columns if c != "text"]

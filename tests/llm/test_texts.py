@@ -111,3 +111,25 @@ def test_chunks_that_share_a_hash_are_told_apart(spark, monkeypatch):
     with Scratch(spark) as scratch:
         marks = line_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()
     assert sorted(r.doc_id for r in marks) == [3, 4]
+
+
+def test_whole_passages_go_wherever_they_stand(spark):
+    rng = random.Random(6)
+    count = iter(range(10**6))
+    line = lambda n: " ".join(f"w{next(count)}" for _ in range(n))
+    around = lambda: [line(rng.randint(1, 12)) for _ in range(rng.randint(0, 4))]
+    rows, want = [], {}
+    for n in [*range(2, 11)] * 6:
+        sizes = [rng.randint(1, 9) for _ in range(n)]
+        sizes[rng.randrange(n)] += max(0, 51 - sum(sizes))  # over 50 words, with lines of one word among them
+        passage = [line(k) for k in sizes]
+        passage[1:1] = [""] * rng.randint(0, 2)
+        for copy in range(2):
+            before, after = around(), around()
+            want[len(rows)] = "\n".join([*before, *([] if copy else passage), *after])
+            rows.append((len(rows), "\n".join([*before, *passage, *after])))
+    rows += [(500, "Yes.\nNo.\nYes.\nNo.\nYes."), (501, "Yes."), (502, "x\nx\nx\nx"), (503, "Yes.\nelse")]
+    want |= {500: "Yes.\nNo.", 501: "Yes.", 502: "x\nx", 503: "Yes.\nelse"}
+    with Scratch(spark) as scratch:
+        got = {r.doc_id: r.text for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()}
+    assert got == want
