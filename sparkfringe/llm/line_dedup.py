@@ -145,6 +145,8 @@ def _left(text: str, marks: list[dict]) -> tuple[str, int, int]:
                 gone.update(range(last, k))
             last = k
     kept = [c for k, c in enumerate(own) if k not in gone]
+    if all(map(_blank, kept)):
+        kept, gone = [], set(range(len(own)))
     return "\n".join(kept), sum(k - 1 not in gone for k in gone), len(gone)
 
 

@@ -110,3 +110,18 @@ def test_stages_keep_the_columns(spark, tmp_path):
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, df, str(tmp_path)).schema.simpleString() == df.schema.simpleString()
+
+
+def test_copies_leave_no_scraps(spark, tmp_path):
+    rng = random.Random(12)
+    count = iter(range(10**6))
+    docs = []
+    for n in [1, 2, 3, 5, 8, 13] * 5:
+        lines = [" ".join(f"w{next(count)}" for _ in range(rng.randint(1, 14))) for _ in range(n)]
+        lines[rng.randrange(n + 1) : 0] = rng.choice([[], [""], ["\u3000"], ["\x0b"]])
+        docs += [(len(docs) + k, "\n".join(lines), "en", "s1", 1) for k in range(3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.drop_repeated_lines(spark, df, str(tmp_path))
+    assert {r.doc_id for r in left.collect() if r.doc_id % 3} <= {d[0] for d in docs if len(d[1].split()) < 6 and len(d[1].split("\n")) < 3}
+    out = corpus_pipeline.drop_near_copies(spark, left, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == [d[:2] for d in docs[::3]]
