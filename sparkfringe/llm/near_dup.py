@@ -3,7 +3,9 @@
 A text is its lower-case words (runs of word characters; where it has none, runs of non-blanks) and
 its windows of five words, each labelled with its occurrence number; a text of fewer words is one window.
 One sketch keeps, under one hash order, the ``TAKEN`` smallest labelled windows in text order; texts
-that agree on one of ``BANDS`` sketches are candidates. A candidate pair is aligned: the
+that agree on one of ``BANDS`` sketches are candidates. Texts of up to ``SHORT`` windows, and those that
+can be similar to one, are candidates if they share one of so many of their smallest windows, under one order for
+all, that no pair of at least the threshold is missed. A candidate pair is aligned: the
 longest chain of equal windows, in order in both texts and within the band of diagonals that the
 threshold allows, of M windows, gives the similarity M / (windows of a + windows of b - M), which is
 never above the texts' Jaccard similarity. Pairs of at least ``SIMILARITY`` are links; classes are
@@ -38,6 +40,8 @@ from .common import Scratch, components, lean, release
 WINDOW = 5
 SIMILARITY = 0.8
 BANDS, TAKEN = 16, 4
+#: Texts of up to this many windows have candidates by the least of them, which misses none.
+SHORT = 20
 #: Texts of a bucket in one block, their characters, and windows multiplied at once.
 BLOCK, BLOCK_CHARS, SLICE = 1024, 4_000_000, 2048
 #: Up to this many ids are broadcast instead of shuffling texts.
@@ -99,6 +103,20 @@ def sketches(found: np.ndarray) -> np.ndarray:
     return _mixed(out + np.arange(BANDS, dtype=np.uint64))
 
 
+def buckets(found: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
+    """Sketches, and for short texts their smallest windows.
+
+    Of two sets of similarity ``least`` at least ceil(least * n) of the n windows of each are common, so the first
+    n - ceil(least * n) + 1 of both in one order can't be all different.
+    """
+    n, parts = len(found), []
+    if n > SHORT:
+        parts.append(sketches(found))
+    if n * least <= SHORT + 1e-9:
+        parts.append(_mixed(np.sort(_mixed(found))[: n - ceil(least * n - 1e-9) + 1] + np.uint64(BANDS)))
+    return np.concatenate(parts)
+
+
 def alignment(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """The similarity of two texts' windows; 0 where it can't reach ``least``."""
     total = len(a) + len(b)
@@ -126,7 +144,7 @@ def _key(words: list[str]) -> bytes:
     return hashlib.md5(" ".join(words).encode(), usedforsecurity=False).digest()
 
 
-def sketched(docs: DataFrame) -> DataFrame:
+def sketched(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Rows (doc_id, key, bands); key names the words, null where there are none."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +155,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 words = words_of(text)
                 key = _key(words) if words else None
                 if key and key not in done:
-                    done[key] = sketches(windows(words, known)).view(np.int64)
+                    done[key] = buckets(windows(words, known), least).view(np.int64)
                 keys.append(key)
                 bands.append(done.get(key))
             yield pa.RecordBatch.from_arrays(
@@ -267,7 +285,7 @@ def _within(labelled: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 def classes(docs: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> DataFrame:
     """Rows (doc_id, class_id): one per row of ``docs``; class_id is the smallest doc_id of the class."""
-    rows = scratch.table(sketched(docs))
+    rows = scratch.table(sketched(docs, least))
     nodes = scratch.table(
         rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     )

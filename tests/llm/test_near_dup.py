@@ -93,3 +93,25 @@ def test_components_of_a_long_chain(spark):
     with Scratch(spark) as scratch:
         out = {r.node: r.label for r in components(scratch, edges).collect()}
     assert out == {k: 0 for k in range(201)} | {500: 500, 501: 500}
+
+
+def test_no_short_pair_is_missed():
+    rng, known = random.Random(8), near_dup._Hashes()
+    for k in range(30_000):
+        words = [f"w{k}x{j}" for j in range(rng.choice([8, 9, 13, 20, 24]))]
+        n = len(words) - near_dup.WINDOW + 1
+        a, b = near_dup.windows(words, known), near_dup.windows([*words[: len(words) - n // 5], *(["z"] if k % 2 else [])], known)
+        if near_dup.alignment(a, b) > 0:
+            assert set(near_dup.buckets(a).tolist()) & set(near_dup.buckets(b).tolist())
+
+
+def test_short_texts_meet_longer_ones():
+    rng = np.random.default_rng(3)
+    for n in range(1, 26):
+        for m in range(n, 32):
+            for _ in range(20):
+                for common in range(1, n + 1):
+                    if common / (n + m - common) >= 0.8 and n <= 20:
+                        every = rng.integers(1, 2**63, n + m - common, dtype=np.uint64)
+                        a, b = every[:n], every[n - common :]
+                        assert set(near_dup.buckets(a).tolist()) & set(near_dup.buckets(b).tolist())
