@@ -283,8 +283,8 @@ def _within(labelled: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return dealt.join(texts, "key").groupBy("bucket", "low", "high").applyInArrow(look, "a binary, b binary")
 
 
-def classes(docs: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> DataFrame:
-    """Rows (doc_id, class_id): one per row of ``docs``; class_id is the smallest doc_id of the class."""
+def _classes(docs: DataFrame, scratch: Scratch, least: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, key, bands) of ``docs``, and (key, label, class_id) of the words there are."""
     rows = scratch.table(sketched(docs, least))
     nodes = scratch.table(
         rows.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
@@ -302,19 +302,55 @@ def classes(docs: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> Dat
         labels = components(scratch, links.unionByName(more))
     named = nodes.select("key", "doc_id").join(labels.withColumnRenamed("node", "key"), "key", "left")
     named = named.select("key", "doc_id", F.coalesce("label", "key").alias("label"))
-    named = named.join(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("key", "class_id")
+    named = named.join(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("key", "label", "class_id")
+    return rows, named
+
+
+def classes(docs: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> DataFrame:
+    """Rows (doc_id, class_id): one per row of ``docs``; class_id is the smallest doc_id of the class."""
+    rows, named = _classes(docs, scratch, least)
     found = rows.select("doc_id", "key").join(named, "key", "left")
     return scratch.keep(found.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")))
 
 
 def without_copies(docs: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` but for all documents of a class except the one of the smallest doc_id."""
-    found = classes(docs, scratch, least)
+    """The rows of ``docs`` but for all texts of a class except one of the smallest doc_id.
+
+    Rows whose doc_id other rows have too, or that have none, are told apart by their words: of one class the smallest doc_id
+    stays (none comes last) with one text. Of equal doc_id and no words one row stays; without both all do.
+    """
+    rows, named = _classes(docs, scratch, least)
+    found = scratch.table(rows.select("doc_id", "key").join(named, "key", "left"))
+    mixed = scratch.keep(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("own")))
     gone = scratch.keep(found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct())
-    few = gone.count() <= BROADCAST_IDS
-    left = docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("gone"), "left_anti")
-    repeated = found.where("doc_id IS NOT NULL AND doc_id = class_id").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return left
-    single = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return single.unionByName(left.where("doc_id IS NULL"))
+
+    def small(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+    own_id = F.col("doc_id").cast("long")
+    nameless = found.where("doc_id IS NULL AND key IS NOT NULL")
+    if mixed.isEmpty() and nameless.isEmpty():
+        return docs.join(small(gone), own_id == F.col("gone"), "left_anti")
+    clear = docs.where("doc_id IS NOT NULL").join(small(gone.unionByName(mixed.withColumnRenamed("own", "gone")).distinct()), own_id == F.col("gone"), "left_anti")
+    chosen = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("chosen")
+    kept = found.where("key IS NOT NULL").groupBy("label").agg(chosen).select(F.col("chosen.doc_id").alias("kept_id"), F.col("chosen.key").alias("kept_key"))
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = map(words_of, batch.column(1).to_pylist())
+            keys = pa.array([_key(w) if w else None for w in words], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, keys], ["row", "text", "key"])
+
+    unclear = docs.where("doc_id IS NOT NULL").join(small(mixed), own_id == F.col("own"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    rest = [c for c in docs.columns if c != "text"]
+    packed = unclear.select(F.struct(*rest).alias("row"), "text")
+    kind = packed.schema["row"].dataType.simpleString()
+    keyed = scratch.keep(packed.mapInArrow(lean(key), f"row {kind}, text string, key binary"))
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key"))
+    said = keyed.where("key IS NOT NULL").join(kept, same, "left_semi")
+    silent = keyed.where("key IS NULL AND row.doc_id IS NOT NULL")
+    whole = F.min(F.struct("text", "row")).alias("whole")
+    single = [x.groupBy(F.col("row.doc_id").alias("id"), "key").agg(whole).select("whole.row", "whole.text") for x in (said, silent)]
+    left = single[0].unionByName(single[1]).unionByName(keyed.where("key IS NULL AND row.doc_id IS NULL").select("row", "text"))
+    left = left.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
+    return scratch.keep(clear.unionByName(left))

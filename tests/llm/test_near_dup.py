@@ -115,3 +115,14 @@ def test_short_texts_meet_longer_ones():
                         every = rng.integers(1, 2**63, n + m - common, dtype=np.uint64)
                         a, b = every[:n], every[n - common :]
                         assert set(near_dup.buckets(a).tolist()) & set(near_dup.buckets(b).tolist())
+
+
+def test_rows_of_one_doc_id_are_told_apart_by_their_words(spark):
+    a, b, c, d = (" ".join(VOCABULARY[k : k + 40]) for k in (0, 50, 100, 150))
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, d), (7, d.upper()), (8, ""), (8, ""), (8, d), (None, c), (None, "only here and there"), (None, "Only here, and there"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'k' AS key", "1 AS row")
+    with Scratch(spark) as scratch:
+        left = near_dup.without_copies(docs, scratch)
+    assert left.columns == docs.columns
+    got = sorted(((r.doc_id, r.text and r.text.lower().replace(",", "")) for r in left.collect()), key=str)
+    assert got == sorted([(1, a), (5, b), (7, c), (7, d), (8, ""), (None, "only here and there"), (None, None)], key=str)
