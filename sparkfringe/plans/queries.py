@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.jones import Cx, Jones, baseline_id, to_interpolable
 from ..operators import angles, apply, bda, binning, flagging, interpolation, model, preprocess, solver, stats, weights
-from . import calibrate
-from .config import SolverOptions, TermOptions, TERM_TYPES, parse_recipe
+from . import planted
+from .config import parse_recipe
 from .schemas import CHUNK, KEYS
 
 N_ANT, N_CORR, DIGITS = 14, 2, 6
@@ -676,28 +676,5 @@ def smoothed_series(spark, sf_dir):
     return interpolation.smooth(e, ["k"], "event_id", "x", "good").select("k", "event_id", _r(F.col("smoothed")).alias("smoothed"))
 
 
-def _solve(kind: str):
-    four = kind in ("rotation", "rotation_measure", "crosshand_phase", "crosshand_phase_null_v", "leakage", "feed_flip", "parallactic_angle")
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        vis = visibilities(spark, sf_dir)
-        n_corr = N_CORR
-        if four:
-            n_corr = 4
-            wide = lambda c: F.array(c[0], c[1], c[1], c[0])
-            vis = vis.withColumns({c: wide(F.col(c)) for c in ("data", "weight", "flag")})
-        vis = preprocess.preprocess(vis, n_corr, "weight")
-        vis = vis.withColumn("model", F.array(Jones.identity(n_corr).column()))
-        term = TermOptions("G", kind, time_interval=TIME_BIN, freq_interval=FREQ_BIN, solve_per="array" if kind.startswith("crosshand") else "antenna")
-        vis, times, chans = calibrate.chunked(vis, _channels(spark), TIME_CHUNK, 0)
-        vis = calibrate.bin_terms(vis, times, chans, [term])
-        plan = solver.Plan((term,), SolverOptions(terms=("G",), iter_recipe=(5,)), n_corr, N_ANT)
-        result = solver.solve(vis, plan)
-        return result.where("kind = 'gain'").groupBy(*CHUNK, "t_bin", "f_bin").agg(F.count("*").alias("n_gains"), F.count_if(F.col("flag") == 1).alias("n_flagged"))
-
-    run.__doc__ = f"Gains of type {kind}, five iterations on every chunk."
-    return run
-
-
-for _kind in TERM_TYPES:
-    QUERIES[f"solve_{_kind}"] = _solve(_kind)
+QUERIES |= planted.QUERIES
+ORACLE_SQL |= planted.ORACLE_SQL
