@@ -4,17 +4,16 @@ A text is its lower-case words (runs of word characters; where it has none, runs
 its windows of five words, each labelled with its occurrence number; a text of fewer words is one window.
 One sketch keeps, under one hash order, the ``TAKEN`` smallest labelled windows in text order; texts
 that agree on one of ``BANDS`` sketches are candidates. Texts of up to ``SHORT`` windows, and those that
-can be similar to one, are candidates if they share one of so many of their smallest windows, under one order for
-all, that no pair of at least the threshold is missed. A candidate pair is aligned: the
-longest chain of equal windows, in order in both texts and within the band of diagonals that the
-threshold allows, of M windows, gives the similarity M / (windows of a + windows of b - M), which is
-never above the texts' Jaccard similarity. Pairs of at least ``SIMILARITY`` are links; classes are
-what links connect.
+can be similar to one, are candidates also if they share one of so many of their smallest windows, under one order for
+all, that no pair whose windows have at least the threshold in common is missed. A candidate pair is aligned word by
+word: the longest common subsequence within the band of diagonals that the threshold allows, of M words, gives the similarity
+M / (words of a + words of b - M), so that one edit costs one word. It is never below the similarity of the texts' windows in order.
+Pairs of at least ``SIMILARITY`` are links; classes are what links connect.
 
 No bucket is expanded into all its pairs, and none is capped. Members of a bucket are compared with
 the bucket's first member. In buckets that are not one class by then, products of 0/1 matrices of texts
-and windows, in tiles of bounded size, tell how many windows texts of different classes share; those that
-share enough are aligned, and a tile returns no more links than connect its texts.
+and words (with their occurrence numbers), in tiles of bounded size, tell how many words texts of different classes
+share, which is never less than M; those that share enough are aligned, and a tile returns no more links than connect its texts.
 
 Exact copies (of the words) are one node from the start, so their number doesn't matter. Texts that
 are null, empty or blank are in classes of their own. Rows with one doc_id count as one document only
@@ -25,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
 from math import ceil
 
@@ -39,7 +37,7 @@ from .common import Scratch, components, lean, release
 
 WINDOW = 5
 SIMILARITY = 0.8
-BANDS, TAKEN = 16, 4
+BANDS, TAKEN = 32, 3
 #: Texts of up to this many windows have candidates by the least of them, which misses none.
 SHORT = 20
 #: Texts of a bucket in one block, their characters, and windows multiplied at once.
@@ -79,7 +77,12 @@ def windows(words: list[str], known: dict) -> np.ndarray:
     sums = np.full(n, min(len(own), WINDOW), np.uint64)
     for j in range(min(len(own), WINDOW)):
         sums += own[j : j + n] * _PLACE[j]
-    found = _mixed(sums)
+    return labelled(_mixed(sums))
+
+
+def labelled(found: np.ndarray) -> np.ndarray:
+    """Hashes of which equal ones are told apart by their occurrence number."""
+    n = len(found)
     order = np.argsort(found, kind="stable")
     ranked = found[order]
     new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
@@ -109,34 +112,48 @@ def buckets(found: np.ndarray, least: float = SIMILARITY) -> np.ndarray:
     Of two sets of similarity ``least`` at least ceil(least * n) of the n windows of each are common, so the first
     n - ceil(least * n) + 1 of both in one order can't be all different.
     """
-    n, parts = len(found), []
-    if n > SHORT:
-        parts.append(sketches(found))
+    n, parts = len(found), [sketches(found)]
     if n * least <= SHORT + 1e-9:
         parts.append(_mixed(np.sort(_mixed(found))[: n - ceil(least * n - 1e-9) + 1] + np.uint64(BANDS)))
     return np.concatenate(parts)
 
 
-def alignment(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """The similarity of two texts' windows; 0 where it can't reach ``least``."""
+def alignment(a: list[str], b: list[str], least: float = SIMILARITY) -> float:
+    """The similarity of two lists of words; 0 where it can't reach ``least``.
+
+    The subsequence is counted by bits: a row's bit is 0 where the count grows by that word of ``a``. Only the band's bits are kept;
+    an alignment of ``need`` words never leaves the band.
+    """
     total = len(a) + len(b)
     need = ceil(least / (1 + least) * total - 1e-9)
     if min(len(a), len(b)) < need:
         return 0.0
-    _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    near = np.abs(at_a - at_b) <= total - 2 * need
-    at_a, at_b = at_a[near], at_b[near]
-    if len(at_a) < need:
-        return 0.0
-    chain = at_b[np.argsort(at_a)]
-    if (np.diff(chain) > 0).all():
-        m = len(chain)
-    else:
-        tails: list[int] = []
-        for x in chain.tolist():
-            k = bisect_left(tails, x)
-            tails[k : k + 1] = [x]
-        m = len(tails)
+    band = total - 2 * need
+    ends = 0
+    for _ in range(2):  # equal words at the beginning and, turned round, at the end
+        k, upto = 0, min(len(a), len(b))
+        while k < upto and a[k] == b[k]:
+            k += 1
+        ends, a, b = ends + k, a[k:][::-1], b[k:][::-1]
+    n, at = len(a), {}
+    for k, w in enumerate(a):
+        at[w] = at.get(w, 0) | 1 << k
+    low = high = counted = row = 0
+    for j, w in enumerate(b):
+        upto = min(n, j + band + 1)
+        if upto > high:
+            row |= ((1 << (upto - high)) - 1) << (high - low)
+            high = upto
+        if j - band > low:
+            drop = min(j - band, high) - low
+            counted += drop - (row & ((1 << drop) - 1)).bit_count()
+            row, low = row >> drop, low + drop
+        hit = row & (at.get(w, 0) >> low)
+        if hit:
+            row = ((row + hit) | (row - hit)) & ((1 << (high - low)) - 1)
+        if j & 127 == 127 and ends + counted + (high - low) - row.bit_count() + len(b) - j - 1 < need:
+            return 0.0
+    m = ends + counted + (high - low) - row.bit_count()
     return m / (total - m) if m >= need else 0.0
 
 
@@ -202,14 +219,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     )
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last, own = _Hashes(), None, None
+        last, own = None, None
         for batch in batches:
             a, b, of_a, of_b = (c.to_pylist() for c in batch.columns)
             hits = []
             for k in range(len(a)):
                 if a[k] != last:
-                    last, own = a[k], windows(of_a[k].split(" "), known)
-                hits.append(alignment(own, windows(of_b[k].split(" "), known), least) >= least)
+                    last, own = a[k], of_a[k].split(" ")
+                hits.append(alignment(own, of_b[k].split(" "), least) > 0)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()).filter(pa.array(hits, pa.bool_())) for c in (a, b)], ["a", "b"])
 
     return both.select("a", "b", "words_a", "words_b").mapInArrow(lean(check), "a binary, b binary")
@@ -218,7 +235,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def _tile(rows: dict, least: float) -> list[tuple[bytes, bytes]]:
     """A spanning forest of the links between different labels in a tile of one or two blocks."""
     known = _Hashes()
-    own = [windows(w.split(" "), known) for w in rows["words"]]
+    texts = [w.split(" ") for w in rows["words"]]
+    own = [labelled(_mixed(np.fromiter(map(known.__getitem__, w), np.uint64, len(w)))) for w in texts]
     sizes = np.array([len(w) for w in own])
     block = np.array(rows["block"])
     sides = [np.flatnonzero(block == x) for x in dict.fromkeys(rows["block"])]
@@ -245,7 +263,7 @@ def _tile(rows: dict, least: float) -> list[tuple[bytes, bytes]]:
             return out
         _, first = np.unique(i, return_index=True)  # one pair of each text, then look again
         for x, y in zip(i[first], j[first], strict=True):
-            if label[x] != label[y] and alignment(own[x], own[y], least) >= least:
+            if label[x] != label[y] and alignment(texts[x], texts[y], least) > 0:
                 out.append((rows["key"][x], rows["key"][y]))
                 label[label == label[y]] = label[x]
         keep = np.ones(len(i), bool)
@@ -256,19 +274,19 @@ def _tile(rows: dict, least: float) -> list[tuple[bytes, bytes]]:
 def _within(labelled: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """Links (a, b) between members (bucket, key, label) of one bucket and different labels.
 
-    Buckets of the same members are looked at once. The numbers of windows that texts share come
-    from products of 0/1 matrices, tile by tile of at most two blocks; only pairs that share enough are aligned.
+    Buckets of the same members, told by their number, characters and two sums of hashes, are looked at once. The
+    numbers of words that texts share come from products of 0/1 matrices, tile by tile of at most two blocks; only pairs that share enough are aligned.
     """
     sizes = texts.select("key", F.length("words").alias("chars"))
-    mark = F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("mark")
+    marks = [F.sum(F.xxhash64("key", F.lit(k)).cast("decimal(38,0)")).alias(f"mark{k}") for k in range(2)]
     open_ = (
         labelled.join(sizes, "key")
         .groupBy("bucket")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("chars").alias("chars"), mark)
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.sum("chars").alias("chars"), *marks)
         .where("low <> high AND n > 2")
     )
     blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("chars") / BLOCK_CHARS)).cast("int")
-    once = open_.groupBy("n", "chars", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", blocks.alias("blocks"))
+    once = open_.groupBy("n", "chars", "mark0", "mark1").agg(F.min("bucket").alias("bucket")).select("bucket", blocks.alias("blocks"))
     dealt = labelled.join(once, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.select("bucket", "key", "label", "block", other.alias("other"))
