@@ -1,21 +1,25 @@
 """Main text of web pages by gradient-boosted trees over DOM nodes, decoded along the tree.
 
-Block elements, and inline ones with a class, id or role, are the nodes of a page. Features of a node are its kind, the words
+Block elements, inline ones with a class, id or role, and lines of text that stand in a container beside blocks or
+double line breaks, are the nodes of a page. Features of a node are its kind, the words
 in its attributes and in those of its ancestors, depth, text, link and punctuation density of its subtree,
 its place in the page and figures of its siblings. The trees give the probability that a node holds
 main text; decoding picks the most probable set of kept nodes in which no dropped node has a kept
-descendant. The trees are trained on generated pages of many layouts, whose right answer is known
-(:func:`training_pages`); nothing of them depends on the pages that are extracted.
+descendant. Where that set holds no text, the least bias towards keeping that gives any decides, up to ``LENIENT``. The trees are
+trained on generated pages (:func:`training_pages`), whose right answer is known: named and nameless elements, columns of tables,
+bare bodies, text parted by line breaks, and elements left open. Neither the pages that are extracted nor others are learnt from.
 
 The text of a page: kept text runs, references decoded, white space within a block turned into one blank,
 blocks trimmed, empty ones left out, joined in page order by line feeds. Scripts, styles, comments and other
 things that aren't shown are no nodes. A line break element counts as white space. Null, empty and
-tagless html give the text that there is, maybe none.
+tagless html give the text that there is, maybe none. Each row is a page of its own, also where page_id or url repeat.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import inspect
 import random
 import re
 from collections.abc import Iterator
@@ -24,7 +28,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import lean
@@ -46,7 +50,11 @@ P_STAYS = INLINE | {"button", "label", "select", "input", "option", "body", "htm
 SCOPE = frozenset("article section aside main div td th table body html form blockquote li nav header footer".split())
 
 KINDS = {k: n for n, kinds in enumerate(("article main", "section div span", "h1 h2 h3 h4 h5 h6 hgroup", "p blockquote pre", "ul ol dl menu", "li dt dd", "table tr td th tbody thead", "nav", "header", "footer", "aside dialog", "form fieldset button select option label input legend", "figure figcaption picture details summary", "address", "html body")) for k in kinds.split()}
-N_KINDS = 16
+#: One more kind: lines of text in a container, and the containers that have them.
+LINE, HOLDERS = 16, frozenset((0, 1, 5, 6, 14, 15))
+N_KINDS = 17
+#: The most that logits are raised by where a page would have no text.
+LENIENT = 1.0
 CUES = (
     "article content post entry main story articlebody body text prose",
     "nav menu navbar navigation breadcrumb breadcrumbs pagination pager tabs toc skip",
@@ -62,6 +70,7 @@ CUES = (
 )
 CUE_OF = {w: 1 << k for k, words in enumerate(CUES) for w in words.split()}
 _ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|aria-label|style|hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
+_RIGHTS = re.compile(r"(?i)©|&copy;|&#169;|\(c\)|\bcopyright\b")
 _TOKEN = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
 _TAG = re.compile(r"""<!--.*?-->|<!--.*\Z|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 
@@ -117,10 +126,18 @@ class Page:
         node = at = block = links = unseen = 0
         opened: dict[str, int] = {}
         last = html.rfind(">")
+        line, of, broken = 0, (-1, -1), False  # the node of the present line, its container and block, and whether it has just been broken
 
         def text(upto: int) -> None:
+            nonlocal line, of, broken
             if upto > at and not unseen:
-                self.runs.append((node, block, html[at:upto], links > 0))
+                own, run = node, html[at:upto]
+                if self.kind[node] in HOLDERS and not run.isspace():
+                    if of != (node, block):
+                        line, of = self._node("", "", node), (node, block)
+                        self.kind[line], self.end[line] = LINE, len(self.kind)
+                    own, broken = line, False
+                self.runs.append((own, block, run, links > 0))
 
         def pop() -> None:
             nonlocal node, links, unseen, block
@@ -172,6 +189,7 @@ class Page:
                     block += 1
                 elif name == "br" and not unseen:
                     self.runs.append((node, block, " ", links > 0))
+                    of, broken = ((-1, -1), False) if broken else (of, True)
                 continue
             if name not in INLINE:
                 block += 1
@@ -206,7 +224,7 @@ def features(pages: list[Page]) -> np.ndarray:
             if not text.isspace():
                 size = len(text)
                 rows.append(start + node)
-                figures.append((size, size * linked, text.count(" ") + 1, text.count(".") + text.count(",") + text.count("?") + text.count("!"), 1, text.count("©") + text.count("&copy;")))
+                figures.append((size, size * linked, text.count(" ") + 1, text.count(".") + text.count(",") + text.count("?") + text.count("!"), 1, len(_RIGHTS.findall(text))))
     if rows:
         np.add.at(own, np.array(rows), np.array(figures, float))
     joined = lambda name: np.concatenate([np.array(getattr(p, name)) for p in pages])
@@ -258,34 +276,36 @@ class Trees:
         return out
 
 
-def boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 70, depth: int = 5, rate: float = 0.2, bins: int = 32, ridge: float = 1.0) -> Trees:
-    """Newton boosting of the logistic loss over binned features."""
+def boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 120, depth: int = 5, rate: float = 0.2, bins: int = 32, ridge: float = 1.0, rows: float = 0.6, features: float = 0.5, seed: int = 1) -> Trees:
+    """Newton boosting of the logistic loss over binned features; every tree sees a seeded part of rows and features."""
+    rng = np.random.default_rng(seed)
     edges = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1], method="lower")) for c in x.T]
-    binned = np.column_stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)])
+    binned = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)]).astype(np.int32)
     n, width = x.shape
-    flat = binned + np.arange(width) * bins
     share = float((weight * y).sum() / weight.sum())
     base = np.log(share / (1 - share))
     z = np.full(n, base)
     trees: list[tuple] = []
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-z))
-        slope, curve = weight * (y - p), weight * p * (1 - p)
+        seen = rng.random(n) < rows
+        slope, curve = np.where(seen, weight * (y - p), 0), np.where(seen, weight * p * (1 - p), 0)
+        own = np.flatnonzero(seen)
+        some = np.sort(rng.choice(width, max(1, int(features * width)), replace=False))
         at = np.zeros(n, np.int64)
         feature, limit = np.zeros(2**depth - 1, np.int64), np.full(2**depth - 1, np.inf)
         for level in range(depth):
             nodes = 2**level
-            local = at - (nodes - 1)
-            keys = (local[:, None] * (width * bins) + flat).ravel()
-            size = nodes * width * bins
-            g, h = (np.bincount(keys, np.repeat(v, width), size).reshape(nodes, width, bins).cumsum(2) for v in (slope, curve))
+            first = ((at[own] - (nodes - 1)) * bins).astype(np.int32)
+            g, h = (np.stack([np.bincount(first + binned[f, own], v[own], nodes * bins) for f in some], 1) for v in (slope, curve))
+            g, h = (v.reshape(nodes, bins, len(some)).transpose(0, 2, 1).cumsum(2) for v in (g, h))
             all_g, all_h = g[:, :, -1:], h[:, :, -1:]
             gain = g**2 / (h + ridge) + (all_g - g) ** 2 / (all_h - h + ridge) - all_g**2 / (all_h + ridge)
             best = gain.reshape(nodes, -1).argmax(1)
             for k in range(nodes):
-                f, b = divmod(int(best[k]), bins)
-                if gain[k, f, b] > 1e-6 and b < len(edges[f]):
-                    feature[nodes - 1 + k], limit[nodes - 1 + k] = f, edges[f][b]
+                j, b = divmod(int(best[k]), bins)
+                if gain[k, j, b] > 1e-6 and b < len(edges[some[j]]):
+                    feature[nodes - 1 + k], limit[nodes - 1 + k] = some[j], edges[some[j]][b]
             at = 2 * at + 1 + (x[np.arange(n), feature[at]] > limit[at])
         leaf = at - len(feature)
         value = rate * np.bincount(leaf, slope, 2**depth) / (np.bincount(leaf, curve, 2**depth) + ridge)
@@ -295,7 +315,18 @@ def boosted(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 70,
 
 
 def decode(page: Page, logit: np.ndarray) -> list[bool]:
-    """The most probable kept nodes such that whatever is kept has kept ancestors; the root stays."""
+    """The most probable kept nodes such that whatever is kept has kept ancestors; the root stays. Of pages without any text
+    kept so, the set that the least bias gives."""
+    said = {node for node, _, text, _ in page.runs if not text.isspace()}
+    kept = _decoded(page, logit)
+    for bias in np.arange(0.5, LENIENT + 0.1, 0.5) if said else ():
+        if any(kept[node] for node in said):
+            break
+        kept = _decoded(page, logit + bias)
+    return kept
+
+
+def _decoded(page: Page, logit: np.ndarray) -> list[bool]:
     keep = np.minimum(logit, 0) - np.log1p(np.exp(-np.abs(logit)))
     drop = (keep - logit).tolist()
     keep = keep.tolist()
@@ -344,17 +375,19 @@ class _Writer:
         self.rng = rng
         letters = rng.choice(["abcdefghilmnoprstu", "aeiourstlnmdé", "aeionrtkzßüä", "aeiosrnñclmt"])
         self.vocabulary = ["".join(rng.choices(letters, k=rng.randint(1, 10))) for _ in range(150)]
+        self.signs = rng.choice([[""], [""], [""], list("!#$%*+-/=?@^_|~"), ["&amp;", "&quot;", "&mdash;", "&#39;", "&eacute;", "&hellip;"]])
+        self.nameless = rng.random() < 0.3
 
     def words(self, n: int) -> str:
-        noise = self.rng.choice(["", "", "", "%%%", "&amp;&amp;&amp;", "***"]) if n > 12 else ""
-        out = [self.rng.choice(self.vocabulary) + (noise if self.rng.random() < 0.5 else "") + (self.rng.choice([",", ".", ".", ""]) if self.rng.random() < 0.12 else "") for _ in range(n)]
-        return " ".join(out).capitalize() + self.rng.choice([".", ".", "."])
+        sign = lambda: self.rng.choice(self.signs) * self.rng.randint(1, 4) if n > 3 and self.rng.random() < 0.4 else ""
+        out = [self.rng.choice(self.vocabulary) + sign() + (self.rng.choice([",", ".", ".", ""]) if self.rng.random() < 0.12 else "") for _ in range(n)]
+        return " ".join(out).capitalize() + self.rng.choice([".", ".", "", "?"])
 
     def maybe(self, chance: float, *made) -> str:
         return self.rng.choice(made)() if self.rng.random() < chance else ""
 
     def named(self, tag: str, *names: str) -> str:
-        if not names or self.rng.random() < 0.2 and tag not in ("div", "section", "span"):
+        if self.nameless or not names or self.rng.random() < 0.2 and tag not in ("div", "section", "span"):
             return tag
         prefix = self.rng.choice(["", "", "", "site-", "page-", "js-", "block-", "c-", "main_"])
         suffix = self.rng.choice(["", "", "", "-1", "-box", "-wrap", "__inner", "-container"])
@@ -364,22 +397,26 @@ class _Writer:
         return f"<{head}>{body}</{head.split()[0]}>"
 
     def links(self, low: int = 2, high: int = 9) -> str:
-        many = [f'<a href="/{self.rng.choice(self.vocabulary)}">{self.words(self.rng.randint(1, 3))[:-1]}</a>' for _ in range(self.rng.randint(low, high))]
+        many = [f'<a href="/{self.rng.choice(self.vocabulary)}">{self.words(self.rng.randint(1, 3)).rstrip(".?")}</a>' for _ in range(self.rng.randint(low, high))]
         form = self.rng.randrange(3)
         if form == 0:
             return self.element(self.rng.choice(["ul", "ol", "ul"]), "".join(f"<li>{x}</li>" for x in many))
         return self.rng.choice([" | ", " ", "", " &middot; "]).join(many) if form == 1 else "".join(f"<div>{x}</div>" for x in many)
 
     def nav(self) -> str:
-        return self.element(self.rng.choice(["nav", self.named("div", "nav", "menu", "navigation", "breadcrumb", "navbar", "pagination"), self.named("nav", "menu", "main")]), self.links())
+        label = self.maybe(0.4, lambda: self.rng.choice(["{} ", "{}: ", "<b>{}</b>", "<h3>{}</h3>", "<p>{}</p>"]).format(self.words(self.rng.randint(1, 2))))
+        head = self.rng.choice(["nav", self.named("div", "nav", "menu", "navigation", "breadcrumb", "navbar", "pagination"), self.named("nav", "menu", "main"), "p" if self.nameless else "nav"])
+        return self.element(head, label + (self.links() if head != "p" else " | ".join(f'<a href="#{k}">{self.words(1)}</a>' for k in range(self.rng.randint(1, 6)))))
 
     def header(self) -> str:
         inner = self.rng.choice([self.element("h1", self.words(2)), self.element("a", self.words(1)), self.element(self.named("div", "logo", "branding"), self.words(2)), ""])
         return self.element(self.rng.choice(["header", self.named("div", "header", "masthead", "topbar"), self.named("header", "header", "top")]), inner + self.maybe(0.6, self.nav, self.form) + self.maybe(0.3, lambda: self.element("p", self.words(self.rng.randint(2, 8)))))
 
     def footer(self) -> str:
-        body = self.rng.choice([f"&copy; {self.rng.choice(self.vocabulary)}.example &middot; {self.words(self.rng.randint(3, 14))}", f"<p>© 2020 {self.words(self.rng.randint(2, 9))}</p>", self.links() + self.element("p", self.words(self.rng.randint(3, 20))), self.words(self.rng.randint(4, 30))])
-        return self.element(self.rng.choice(["footer", "footer", self.named("div", "footer", "copyright", "legal", "bottom"), self.named("footer", "footer")]), body)
+        mark, year = self.rng.choice(["&copy;", "©", "Copyright", "(c)", "&#169;"]), self.rng.choice(["", "1999 ", "2020 ", "2011-2024 "])
+        line = f"{mark} {year}{self.words(self.rng.randint(1, 14))}"
+        body = self.rng.choice([line, f"<p>{line}</p>", f"<small>{line}</small>", self.links() + f"<p>{line}</p>", f"{self.links(1, 4)} {line}", line if self.nameless else self.words(self.rng.randint(4, 30))])
+        return self.maybe(0.2, lambda: "<hr>") + self.element(self.rng.choice(["footer", "footer", self.named("div", "footer", "copyright", "legal", "bottom"), self.named("footer", "footer"), "address"]), body)
 
     def aside(self) -> str:
         body = "".join(self.rng.choice([self.links, lambda: self.element("p", self.words(self.rng.randint(4, 40))), lambda: self.element("h3", self.words(2))])() for _ in range(self.rng.randint(1, 4)))
@@ -409,28 +446,64 @@ class _Writer:
     def said(self, n: int) -> str:
         return self.MARK + self.words(n)
 
+    def inline(self, body: str) -> str:
+        """Emphasis around or in text, now and then left open; line breaks."""
+        tag = self.rng.choice(["b", "i", "em", "strong", "span", "u", "font", "small"])
+        form = self.rng.randrange(5)
+        if form == 0:
+            return f"<{tag}>{body}</{tag}>"
+        if form == 1:
+            return f"<{tag}>{body}"
+        if form == 2:
+            return f"{body} <{tag}>{self.said(3)}</{tag}> {self.said(2)}"
+        return body + self.rng.choice(["<br>", "<br/>", f"<br>{self.said(4)}"]) if form == 3 else f"<{tag}>{body}<br>"
+
     def paragraph(self) -> str:
         body = self.said(self.rng.choice([1, 1, 2, 4, 8, 15, 40, 90, 160, 300]))
         if self.rng.random() < 0.2:
             body += f' <a href="/x">{self.MARK}{self.words(2)}</a> <em>{self.said(3)}</em>'
+        if self.rng.random() < 0.3:
+            body = self.inline(body)
         form = self.rng.random()
-        if form < 0.62:
+        if form < 0.68:
             return f"<p>{body}</p>"
-        if form < 0.72:
+        if form < 0.83:
             return f"<p>{body}"
-        if form < 0.85:
-            return f"<p><b>{body}<br>"
-        if form < 0.9:
+        if form < 0.88:
             return self.element("blockquote", f"<p>{body}</p>")
-        if form < 0.94:
+        if form < 0.92:
             return self.element(self.rng.choice(["ul", "ol"]), "".join(f"<li>{self.said(self.rng.randint(2, 25))}" for _ in range(self.rng.randint(1, 6))))
-        if form < 0.97:
+        if form < 0.95:
             return self.element("table", "".join(f"<tr><td>{self.said(3)}</td><td>{self.said(2)}</td></tr>" for _ in range(self.rng.randint(1, 4))))
-        return self.element("pre", body) if form < 0.985 else self.element("div", body)
+        return self.element("pre", body) if form < 0.965 else self.element("div", body)
+
+    def broken_text(self) -> str:
+        """Text that only line breaks part."""
+        parts = [self.said(self.rng.choice([3, 8, 20, 60, 120])) for _ in range(self.rng.randint(1, 6))]
+        return self.maybe(0.5, lambda: self.element(self.rng.choice(["h1", "h2", "b", "font size=5"]), self.said(3)) + self.rng.choice(["", "<br><br>"])) + self.rng.choice(["<br><br>", "<br><br>\n", "<br>\n<br>"]).join(parts)
+
+    def plain_page(self) -> str:
+        """Pages without names: text in the body, in a table's cell or in plain elements."""
+        rng = self.rng
+        text = self.broken_text() if rng.random() < 0.45 else self.maybe(0.7, lambda: self.element(rng.choice(["h1", "h2"]), self.said(rng.choice([1, 1, 2, 3, 5, 8])))) + "".join(self.paragraph() for _ in range(rng.choice([1, 1, 2, 3, 6, 12])))
+        links = lambda: self.nav() if rng.random() < 0.6 else " ".join(f'<a href="{k}.html">{self.words(rng.randint(1, 3))}</a>' for k in range(rng.randint(1, 4)))
+        form = rng.randrange(5)
+        if form == 0:
+            cells = [f"<td{rng.choice(['', ' valign=top', ' width=150'])}>{links()}</td>", f"<td>{text}</td>"]
+            body = self.element(rng.choice(["table", "table border=0"]), "<tr>" + "".join(cells if rng.random() < 0.8 else cells[::-1]) + "</tr>")
+        elif form == 1:
+            body = self.element("div", links()) + self.element("div", text)
+        elif form == 2:
+            body = self.maybe(0.5, links) + rng.choice(["<hr>", "<br><br>", ""]) + text + rng.choice(["<hr>", "<br><br>", "<p>"]) + self.maybe(0.7, links)
+        elif form == 3:
+            body = self.element(rng.choice(["center", "div", "font", "main", "section"]), self.maybe(0.3, links) + text)
+        else:
+            body = self.maybe(0.5, lambda: self.element("div", links())) + text
+        return body + self.maybe(0.5, self.footer) + self.maybe(0.2, self.form)
 
     def article(self) -> str:
         rng = self.rng
-        title = self.maybe(0.8, lambda: self.element(rng.choice(["h1", "h1", "h2"]), self.said(rng.randint(1, 12))))
+        title = self.maybe(0.8, lambda: self.element(rng.choice(["h1", "h1", "h2", self.named("h1", "title", "headline", "entry-title")]), self.said(rng.choice([1, 1, 2, 3, 5, 8, 12]))))
         parts = [self.element("header", title) if title and rng.random() < 0.08 else title]
         for _ in range(rng.choice([1, 1, 1, 2, 3, 5, 9, 20])):
             parts.append(self.paragraph())
@@ -455,11 +528,14 @@ class _Writer:
         after += [self.footer()] if rng.random() < 0.85 else []
         if rng.random() < 0.3:
             rng.shuffle(before)
-        main = self.article() if rng.random() < 0.95 else ""
-        middle = "".join(before) + "<!-- x -->" + main + "".join(after)
+        if self.nameless:
+            middle = self.plain_page()
+        else:
+            middle = "".join(before) + rng.choice(["", "<!-- x -->"]) + (self.article() if rng.random() < 0.95 else "") + "".join(after)
         for _ in range(rng.choice([0, 0, 0, 1, 2])):
             middle = self.element(rng.choice(["div", self.named("div", "wrapper", "page", "container", "outer", "layout"), "section"]), middle)
-        return f'<!DOCTYPE html><html lang="en"><head><title>{self.words(5)}</title><style>p{{margin:0}}</style></head><body>{middle}' + rng.choice(["</body></html>", ""])
+        head = f"<title>{self.words(5)}</title>" + self.maybe(0.4, lambda: "<style>body { color: #333 } p > b { margin: 1em }</style>") + self.maybe(0.4, lambda: "<script>if (a < b) { load('<div>') }</script>")
+        return rng.choice(["<!DOCTYPE html>", "", "<!-- page -->"]) + f"<html><head>{head}</head><body>{middle}" + rng.choice(["</body></html>", ""])
 
 
 def training_pages(n: int, seed: int = 7) -> list[tuple[Page, np.ndarray]]:
@@ -478,14 +554,31 @@ def training_pages(n: int, seed: int = 7) -> list[tuple[Page, np.ndarray]]:
     return out
 
 
-@cache
-def trained(n: int = 1500, seed: int = 7) -> Trees:
+def _learnt(n: int, seed: int) -> Trees:
     made = training_pages(n, seed)
     x, y = features([p for p, _ in made]), np.concatenate([g for _, g in made]).astype(float)
     some = np.log1p(np.expm1(x[:, N_KINDS * 2 + 2 * len(CUES)]))  # by the text that a node decides over
     return boosted(x, y, 0.6 + some / some.max())
 
 
+@cache
+def trained(n: int = 2000, seed: int = 7, folder: str | None = None) -> Trees:
+    """Trees learnt from ``n`` generated pages, taken from ``folder`` where a run before has left them."""
+    if folder is None:
+        return _learnt(n, seed)
+    at = f"{folder}/page-trees-{hashlib.md5(inspect.getsource(inspect.getmodule(_learnt)).encode()).hexdigest()}-{n}-{seed}"
+    spark = SparkSession.getActiveSession()
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{at}/_SUCCESS")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+        rows = spark.read.schema("tree int, base double, feature array<long>, cut array<double>, value array<double>").parquet(at).orderBy("tree").collect()
+        return Trees(rows[0].base, *(np.array([r[name] for r in rows]) for name in ("feature", "cut", "value")))
+    found = _learnt(n, seed)
+    rows = [(k, found.base, f.tolist(), c.tolist(), v.tolist()) for k, (f, c, v) in enumerate(zip(found.feature, found.limit, found.value, strict=True))]
+    spark.createDataFrame(rows, "tree int, base double, feature array<long>, cut array<double>, value array<double>").coalesce(1).write.mode("overwrite").parquet(at)
+    return found
+
+
 def main_text(pages: DataFrame, trees: Trees) -> DataFrame:
     """Rows (page_id, url, text, n_chars)."""
 

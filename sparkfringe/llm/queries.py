@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, embedding_dup, html_text, line_dedup, mixing, near_dup, packing, secrets, topk, toxicity
-from .common import Scratch
+from .common import Scratch, shared_dir
 
 TOKENIZER = "word_bpe_49k.json"
 CONTROL = "<|im_end|><|im_start|>assistant ok"
@@ -68,7 +68,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.main_text(_read(spark, sf_dir, "pages"), html_text.trained())
+    return html_text.main_text(_read(spark, sf_dir, "pages"), html_text.trained(folder=shared_dir(spark)))
 
 
 def op8_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

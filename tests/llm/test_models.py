@@ -56,6 +56,30 @@ def test_layouts(k):
     assert html_text.extract([f"<html><body>{LAYOUTS[k][0]}</body></html>"], html_text.trained()) == ["\n".join(LAYOUTS[k][1])]
 
 
+def test_hand_written_layouts(trees):
+    """Nearly all give the exact text, and none loses it all."""
+    from layouts import CANALS, SNOW
+
+    full, right = html_text.trained(), 0
+    for body, blocks in CANALS + SNOW:
+        (got,) = html_text.extract([body if "<body" in body else f"<html><body>{body}</body></html>"], full)
+        right += got == "\n".join(blocks)
+        assert got and max(blocks, key=len) in got
+    assert len(CANALS + SNOW) == 44 and right >= 41
+
+
+def test_trees_are_stored_and_read_again(spark, tmp_path):
+    first = html_text.trained(40, 3, f"file://{tmp_path}")
+    html_text.trained.cache_clear()
+    again = html_text.trained(40, 3, f"file://{tmp_path}")
+    assert first is not again and first.base == again.base and (first.value == again.value).all() and (first.limit == again.limit).all()
+
+
+def test_repeated_pages_are_pages_of_their_own(spark, trees):
+    pages = spark.createDataFrame([(1, "u", "<p>One page.</p>"), (1, "u", "<p>One page.</p>"), (None, None, "<p>Other page.</p>")], "page_id long, url string, html string")
+    assert sorted(r.text for r in html_text.main_text(pages, trees).collect()) == ["One page.", "One page.", "Other page."]
+
+
 def test_odd_pages(spark, trees):
     deep = "<div>" * 5000 + "<p>deep text" + "</div>" * 5000
     odd = [None, "", "no tags, a < b & c", "<", "<p", "<<<>>>", "<!-- open", "<script>x", "</p></div>", "<a <a <a " * 2000, '<p title="open>text', deep, "<p>" + "word " * 100_000]
