@@ -131,6 +131,24 @@ def test_toxicity_on_held_out_documents(spark):
     assert len(model.voters) == toxicity.LISTS + len(toxicity.PATTERNS) + 4 and all(0 <= v["accuracy"] <= 1 for v in model.voters)
 
 
+def test_toxicity_with_one_class_of_labels(spark):
+    docs, labels = corpus(2)
+    rows = spark.createDataFrame(docs[:200], "doc_id long, text string")
+    for toxic in (0, 1):
+        marks = spark.createDataFrame([(i, q, toxic) for i, q, _ in labels[:200]], "doc_id long, quality int, toxic int")
+        with Scratch(spark) as scratch:
+            model = toxicity.fit(rows, marks, scratch)
+        assert not model.terms and model.score("you idiot") > 0.7 > 0.3 > model.score("you there")
+
+
+def test_copies_of_a_text_do_not_teach_their_words(spark):
+    docs, labels = corpus(3)
+    with Scratch(spark) as scratch:
+        model = toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), scratch)
+    family = set(docs[-1][1].split())
+    assert {"0zworf", "0idiot"} <= model.terms and not {t[1:] for t in model.terms if t[0] == "0"} & family
+
+
 def test_label_model_discounts_copies_of_a_voter():
     rng = np.random.default_rng(1)
     y = rng.random(4000) < 0.3
