@@ -5,7 +5,7 @@ of a whole sequence and a shorter last one. Pieces fill bins under three capacit
 documents, attention cost as the sum of squared lengths). Going by falling length, each piece goes to
 the open bin that fits under every capacity and has the smallest weighted norm of what would remain
 ("norm"), or the largest weighted dot-product of piece and residual ("dot"); a new bin opens only if
-none fits.
+none fits. A piece that is above the capacity of documents or cost by itself has a sequence of its own.
 
 Pieces are dealt into groups of about ``GROUP_PIECES`` by a hash of document, piece and row, so
 that no source or group of copies meets in one task; each group closes its own bins, which costs less
@@ -18,6 +18,7 @@ are the ids of its words, one after the other.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -35,6 +36,9 @@ from .common import Scratch, lean, release
 SEQUENCE = 2048
 END_ID = 0
 GROUP_PIECES = 16_384
+#: Capacities for documents and, as shares of the square of the sequence, for attention cost: of the registered query, which is
+#: to make few sequences of any table, and of mixes of longer documents.
+WIDE, TIGHT = (512, 0.95), (64, 0.9)
 #: Words whose ids a worker remembers, and the longest of them.
 CACHE_WORDS, KEPT_WORDS, CACHE_CHARS = 600_000, 300_000, 64
 _TAIL = ".,;:!?%&$#*"
@@ -47,23 +51,37 @@ def _lowered(text: str) -> str:
     return text if "Σ" in text or "<|" in text else text.lower()
 
 
+def _goes_by_words(path: str) -> bool:
+    """Whether a tokenizer file says that text is put in lower case, and that no token crosses white space."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    steps = (rules.get("normalizer") or {}).get("normalizers") or []
+    parts = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    split = parts[0].get("pattern", {}).get("Regex", "") if parts and parts[0]["type"] == "Split" and parts[0].get("invert") else ""
+    return [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and split.endswith(r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+
+
 class WordIds:
     """Token ids of a text as little-endian 32-bit words.
 
     Most new words are Latin letters and some punctuation after them, which the tokenizer takes apart
     there and puts in lower case letter by letter; the letters of all new words of a text are encoded in one
     call, which costs far less than one call each. Other words are encoded as they are. When too many
-    words are known, those learnt first stay, which are the frequent ones for the most part.
+    words are known, those learnt first stay, which are the frequent ones for the most part. All this goes for tokenizers that
+    put text in lower case and part it at white space first (:func:`_goes_by_words`); with others each text is encoded as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_words = _goes_by_words(path)
         self.known: dict[str, bytes] = {"": b""}
         self.stems: dict[str, bytes] = {"": b""}
 
     def __call__(self, text: str) -> bytes:
+        if not self.by_words:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = _lowered(text).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         new = set(words).difference(self.known)
         if new:
@@ -142,18 +160,22 @@ def best_fit(
     weights: tuple[float, float, float] = (1.0, 0.02, 0.02),
     rule: str = "norm",
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(bin, offset) of each piece. A piece above a capacity by itself is an error."""
+    """(bin, offset) of each piece. A piece above the capacity of documents or cost by itself has a bin of its own; one
+    above that of tokens is an error."""
     size = np.stack([lengths, np.ones_like(lengths), lengths * lengths]).astype(float)
     room = np.array(capacities, float)[:, None]
-    if (size > room).any():
-        raise ValueError("a piece is above a capacity")
+    if (size[0] > room[0]).any():
+        raise ValueError("a piece is longer than a sequence")
+    alone = (size > room).any(0)
     order = np.argsort(-lengths, kind="stable")
+    order = order[~alone[order]]
     least = np.minimum.accumulate(size[:, order[::-1]], axis=1)[:, ::-1]  # of what is still to come
-    bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    bins, offsets = np.empty(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
+    bins[alone] = np.arange(alone.sum())
     left = np.empty((3, 64))
     used = np.empty(64, np.int64)
     name = np.empty(64, np.int64)
-    n_open = made = 0
+    n_open, made = 0, int(alone.sum())
     w = np.array(weights, float)[:, None]
     for step, i in enumerate(order):
         own = size[:, i]
@@ -194,7 +216,7 @@ def pack(
 ) -> DataFrame:
     """Rows with a ``length`` (of at most ``sequence``) get sequence_id and offset.
 
-    Without ``max_documents`` and ``max_cost`` only tokens bind.
+    ``max_cost`` is the most that squared lengths in a sequence may sum up to. Without it and ``max_documents`` only tokens bind.
     """
     capacities = (float(sequence), float(max_documents or sequence), float(max_cost or sequence * sequence))
     rows = scratch.table(rows)

@@ -54,7 +54,8 @@ def tokenizer_path() -> str:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     with Scratch(spark) as scratch:
         cut = packing.pieces(_read(spark, sf_dir, "documents"), tokenizer_path())
-        return scratch.keep(packing.pack(cut, scratch))
+        documents, cost = packing.WIDE
+        return scratch.keep(packing.pack(cut, scratch, max_documents=documents, max_cost=cost * packing.SEQUENCE**2))
 
 
 def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

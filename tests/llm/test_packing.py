@@ -65,3 +65,66 @@ def test_rows(spark):
         assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:], strict=False))
         assert sum(n for _, n in own) <= 2048
     assert len(by) == 2 * 2 + 1 + 1 or len(by) <= 7
+
+
+def test_capacities_bind_and_cost_few_sequences(spark):
+    rng = np.random.default_rng(4)
+    many = [(k, "word " * int(n)) for k, n in enumerate(np.concatenate([rng.integers(0, 4, 400), rng.integers(100, 2047, 200)]))]
+    docs = spark.createDataFrame(many, "doc_id long, text string")
+    with Scratch(spark) as scratch:
+        cut = scratch.table(packing.pieces(docs, tokenizer_path()))
+        free = packing.pack(cut, scratch).select("sequence_id").distinct().count()
+        documents, cost = packing.TIGHT
+        out = packing.pack(cut, scratch, max_documents=documents, max_cost=cost * 2048**2).collect()
+    assert len(out) == 600
+    by: dict = {}
+    for r in out:
+        by.setdefault(r.sequence_id, []).append(r.length)
+    lone = [own for own in by.values() if sum(n * n for n in own) > cost * 2048**2]
+    assert lone and all(len(own) == 1 for own in lone)
+    assert max(map(len, by.values())) == documents and all(sum(own) <= 2048 for own in by.values())
+    assert free <= len(by) <= 1.05 * free + 1
+
+
+def test_first_fitting_bins_by_hand():
+    """Against the rule spelt out piece by piece."""
+    rng = np.random.default_rng(6)
+    for rule in ("norm", "dot"):
+        for _ in range(30):
+            lengths, room, w = rng.integers(1, 60, 80), np.array([100.0, 5.0, 3000.0]), np.array([1.0, 0.4, 0.3])
+            bins, offsets = packing.best_fit(lengths, tuple(room), tuple(w), rule)
+            left: dict = {}
+            n_alone = 0
+            for i in np.flatnonzero(lengths**2 > 3000):
+                left[n_alone] = None
+                assert bins[i] == n_alone and offsets[i] == 0
+                n_alone += 1
+            for i in np.argsort(-lengths, kind="stable"):
+                own = np.array([lengths[i], 1, lengths[i] ** 2], float)
+                if lengths[i] ** 2 > 3000:
+                    continue
+                scores = {}
+                for b, rest in left.items():
+                    if rest is not None and (rest >= own).all():
+                        scores[b] = (((w * (rest - own) / room) ** 2).sum() if rule == "norm" else -(w * own / room * rest / room).sum())
+                if scores:
+                    assert np.isclose(scores[bins[i]], min(scores.values()))
+                    left[bins[i]] = left[bins[i]] - own
+                else:
+                    assert bins[i] == len(left)
+                    left[len(left)] = room - own
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    rules = json.load(open(tokenizer_path(), encoding="utf-8"))
+    rules["normalizer"] = {"type": "NFC"}
+    (tmp_path / "t.json").write_text(json.dumps(rules))
+    path = str(tmp_path / "t.json")
+    plain, words = Tokenizer.from_file(path), packing.WordIds(path)
+    for text in ("The Cat  SAT", "", "\n\nA\tb"):
+        ids = plain.encode(text, add_special_tokens=False).ids
+        assert words(text) == struct.pack(f"<{len(ids)}I", *ids)
