@@ -47,9 +47,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequence and place. Other stages share the workers, so no words are kept."""
+    """Pieces of documents with their sequence and place, under capacities of tokens, documents and attention cost. Other
+    stages share the workers, so no words are kept."""
+    documents, cost = packing.TIGHT
     with Scratch(spark) as scratch:
-        return scratch.keep(packing.pack(packing.pieces(docs, tokenizer_path(), share_words=False), scratch))
+        cut = packing.pieces(docs, tokenizer_path(), share_words=False)
+        return scratch.keep(packing.pack(cut, scratch, max_documents=documents, max_cost=cost * packing.SEQUENCE**2))
 
 
 STAGES = [
