@@ -1,11 +1,12 @@
 """Exact top-k search by inner product: a ball tree per shard, searched by branch and bound.
 
-Candidates are dealt into shards, each with a ball tree (centre and radius per node). The inner product
+Candidates that lie near each other are dealt into shards, each with a ball tree (centre and radius per node). The inner product
 of a query with anything in a node is at most q . centre + |q| * radius; a node is left out if that is
 below the query's k-th score so far. A batch of queries goes down the tree together; at every node the
 queries split by which child promises more and go there first, then to the other with what the first has
-taught. Each query is searched in one shard first, and the k-th score found there goes with it to all
-other shards.
+taught. Shards are gone through in waves: a query's own shard, the one that promises most, the next four, and the others; before
+each wave the k-th scores of all waves before are shared, and shards whose ball is below them are left out. A tree is built
+once and goes to a task with at most ``BATCH`` queries.
 
 Vectors are integers: each component x becomes floor(256 * x). Vectors that are null, empty or hold null or non-finite
 components, and rows without vec_id, take no part; vectors of different lengths don't meet. Scores
@@ -15,17 +16,23 @@ vec_id) are no candidates; repeated query rows get results each.
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 from .embedding_dup import is_usable
+from .space import dealt, matrix, slices
 
 K = 5
 SHARD, LEAF, BATCH = 16_384, 256, 2048
 LONG = 2**63 - 1
+#: Shards by promise that a wave looks at, queries whose shards are ranked at a time, and rows of a batch that goes on.
+WAVES, ASKED, ROWS = ((0, 1), (1, 5), (5, None)), 64, 1000
 
 
 def integers(values: np.ndarray) -> np.ndarray:
@@ -127,47 +134,98 @@ class Search:
         return {"query": nodes[q], "query_id": self.query_ids[q], "vec_id": self.found[q, r], "score": self.scores[q, r]}
 
 
-def _matrix(table: pa.Table, name: str) -> np.ndarray:
-    values = table.column(name).combine_chunks()
-    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+def _rooted(table: pa.Table, leaf: int) -> pa.Table:
+    """One row of a shard: its tree, and its ball."""
+    tree = BallTree(integers(matrix(table, "embedding")), table.column("vec_id").to_numpy(), leaf)
+    centre, radius = tree.nodes[0][4:]
+    tree.points = None
+    narrow = tree.vectors.dtype != object and np.abs(tree.vectors).max(initial=0) < 2**15
+    tree.vectors = tree.vectors.astype(np.int16) if narrow else tree.vectors
+    return pa.table({"dims": table.column("dims")[:1], "block": table.column("block")[:1], "tree": pa.array([pickle.dumps(tree)], pa.binary()), "centre": pa.array([centre.tolist()]), "radius": pa.array([float(radius)])})
+
+
+def _look(trees: pa.Table, asked: pa.Table, k: int) -> pa.Table:
+    out: dict = {"query": np.empty(0, np.int64), "query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)}
+    if trees.num_rows and asked.num_rows:
+        tree = pickle.loads(trees.column("tree")[0].as_py())
+        tree.vectors = tree.vectors.astype(float) if tree.vectors.dtype != object else tree.vectors
+        points, ids = integers(matrix(asked, "query")), asked.column("query_id").to_numpy()
+        out = Search(tree, points, ids, asked.column("bound").to_numpy().copy(), k).rows(asked.column("node").to_numpy())
+    return pa.table(out)
 
 
-def search(embeddings: DataFrame, scratch: Scratch, is_query: Column, k: int = K, shard: int = SHARD, leaf: int = LEAF) -> DataFrame:
+def search(embeddings: DataFrame, scratch: Scratch, is_query: Column, k: int = K, shard: int = SHARD, leaf: int = LEAF, batch: int = BATCH) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the k best of every row that ``is_query`` holds for."""
     rows = embeddings.where(F.col("vec_id").isNotNull() & is_usable()).select(
         F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.size("embedding").alias("dims"), F.monotonically_increasing_id().alias("node"), is_query.alias("is_query")
     )
-    rows = scratch.table(rows)
-    shards = max(1, -(-rows.count() // shard))
-    home = F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int")
-    candidates = rows.select("dims", home.alias("shard"), "vec_id", "embedding")
-    queries = rows.where("is_query").select(
-        F.col("dims").alias("q_dims"), home.alias("home"), F.col("vec_id").alias("query_id"), "node", F.col("embedding").alias("query")
-    )
-
-    def look(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict = {"query": np.empty(0, np.int64), "query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0, np.int64)}
-        if left.num_rows and right.num_rows:
-            tree = BallTree(integers(_matrix(left, "embedding")), left.column("vec_id").to_numpy(), leaf)
-            points, ids = integers(_matrix(right, "query")), right.column("query_id").to_numpy()
-            nodes, bounds = right.column("node").to_numpy(), right.column("bound").to_numpy().copy()
-            parts = [out]
-            for at in range(0, len(ids), BATCH):
-                part = slice(at, at + BATCH)
-                parts.append(Search(tree, points[part], ids[part], bounds[part], k).rows(nodes[part]))
-            out = {c: np.concatenate([p[c] for p in parts]) for c in out}
-        return pa.table(out)
+    rows = dealt(rows, scratch, shard)
+    made = "dims int, block long, tree binary, centre array<double>, radius double"
+    trees = scratch.table(rows.select("dims", "block", "vec_id", "embedding").groupBy("dims", "block").applyInArrow(lambda t: _rooted(t, leaf), made))
+    queries = rows.where("is_query").select("dims", F.col("block").alias("home"), F.col("vec_id").alias("query_id"), "node", F.col("embedding").alias("query"))
+    none = F.lit(-LONG - 1).cast("long")
 
     def searched(asked: DataFrame) -> DataFrame:
-        return candidates.groupBy("dims", "shard").cogroup(asked.groupBy("q_dims", "q_shard")).applyInArrow(look, "query long, query_id long, vec_id long, score long")
-
-    none = F.lit(-LONG - 1).cast("long")
-    found = scratch.table(searched(queries.select("q_dims", F.col("home").alias("q_shard"), "query_id", "node", "query", none.alias("bound"))))
-    if shards > 1:
-        kth = found.groupBy(F.col("query").alias("node")).agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
-        others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda x: x != F.col("home"))
-        asked = queries.join(kth, "node", "left").select("q_dims", F.explode(others).alias("q_shard"), "query_id", "node", "query", F.coalesce("bound", none).alias("bound"))
-        found = found.unionByName(searched(asked))
+        asked = scratch.table(asked)
+        many = asked.groupBy("dims", "block").agg(F.ceil(F.count("*") / batch).cast("long").alias("many"))
+        asked = asked.join(many, ["dims", "block"]).withColumn("batch", F.pmod(F.xxhash64("node", F.lit(3)), F.col("many"))).drop("many")
+        given = trees.select("dims", "block", "tree").join(many, ["dims", "block"]).select("dims", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("batch"), "tree")
+        on = ("dims", "block", "batch")
+        return scratch.table(given.groupBy(*on).cogroup(asked.groupBy(*on)).applyInArrow(lambda a, b: _look(a, b, k), "query long, query_id long, vec_id long, score long"))
+
+    found = searched(queries.select("dims", F.col("home").alias("block"), "query_id", "node", "query", none.alias("bound")))
+    shards = trees.groupBy("dims").count().agg(F.sum("count"), F.max("count"), F.max("dims")).first()
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    n_slices = slices(shards[1] or 0, shards[2] or 0)
+    for at in range(n_slices if (shards[1] or 0) > 1 else 0):
+        balls = trees.select("dims", "block", "centre", "radius").where(F.pmod(F.xxhash64("block"), F.lit(n_slices)) == at).toArrow()
+        by_dims = _balls(balls)
+        for low, high in WAVES:
+            if not any(len(b[0]) > low for b in by_dims.values()):
+                break
+            found = scratch.table(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"))
+            kth = found.groupBy(F.col("query").alias("node")).agg(F.when(F.count("*") >= k, F.min("score")).alias("bound"))
+            known = queries.join(kth, "node", "left").select("dims", "home", "query_id", "node", "query", F.coalesce("bound", none).alias("bound"))
+            kinds = "dims int, block long, query_id long, node long, query array<double>, bound long"
+            asked = known.mapInArrow(lean(_promising(by_dims, low, high)), kinds)
+            found = found.unionByName(searched(asked))
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return scratch.keep(ranked.select("query_id", "rank", "vec_id", "score"))
+
+
+def _balls(table: pa.Table) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks, centres and radii of each length of vectors."""
+    dims = table.column("dims").to_numpy()
+    return {int(d): (own.column("block").to_numpy(), matrix(own, "centre"), own.column("radius").to_numpy()) for d in np.unique(dims) if (own := table.filter(pa.array(dims == d))).num_rows}
+
+
+def _promising(balls: dict, low: int, high: int | None):
+    """Queries once for each shard whose ball may hold a better score, of those from the ``low``-th to the ``high``-th by promise."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dims").to_numpy()
+            for d in np.unique(dims):
+                own = batch.filter(pa.array(dims == d))
+                if int(d) not in balls:
+                    continue
+                blocks, centres, radii = balls[int(d)]
+                points, bounds = integers(matrix(own, "query")).astype(float), own.column("bound").to_numpy()
+                for at in range(0, len(points), ASKED):
+                    part = points[at : at + ASKED]
+                    size = np.linalg.norm(part, axis=1)
+                    far = size[:, None] * radii[None, :]
+                    most = part @ centres.T + far + 1e-9 * (size[:, None] * np.linalg.norm(centres, axis=1)[None, :] + far) + 1e-6
+                    at_home = blocks[None, :] == own.column("home").to_numpy()[at : at + ASKED, None]
+                    most[at_home] = -np.inf
+                    place = np.argsort(np.argsort(-most, axis=1, kind="stable"), axis=1, kind="stable")
+                    wanted = (place >= low) & ~(most < bounds[at : at + ASKED, None]) & ~at_home
+                    q, b = np.nonzero(wanted & (place < high) if high is not None else wanted)
+                    for first in range(0, len(q), ROWS):
+                        rows = own.take(pa.array(q[first : first + ROWS] + at))
+                        yield pa.RecordBatch.from_arrays(
+                            [rows.column("dims"), pa.array(blocks[b[first : first + ROWS]], pa.int64()), *(rows.column(c) for c in ("query_id", "node", "query", "bound"))],
+                            ["dims", "block", "query_id", "node", "query", "bound"],
+                        )
+
+    return ask
