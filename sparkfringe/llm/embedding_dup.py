@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, lean
+from .common import Scratch, components, joined, lean
 from .space import dealt, matrix, slices, unit
 
 THRESHOLD = 0.9
@@ -213,5 +213,5 @@ def classes(embeddings: DataFrame, scratch: Scratch, threshold: float = THRESHOL
     each = rows.select("vec_id", "node").join(degrees, "node", "left").join(labels, "node", "left")
     each = scratch.table(each.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("label", "node").alias("label")))
     least = each.groupBy("label").agg(F.min("vec_id").alias("component_id"))
-    out = each.join(least, "label").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    out = joined(scratch, each, least, "label").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))
     return scratch.keep(out)

@@ -25,10 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lean
+from .common import Scratch, joined, lean, small
 
 LONG_WORDS, LONG_CHARS = 6, 60
-BROADCAST_ROWS = 500_000
 
 
 def chunks(text: str) -> list[str]:
@@ -85,11 +84,7 @@ def hashed(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(lean(make), "doc_id long, place int, hash long")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+def _texts(docs: DataFrame, wanted: DataFrame, scratch: Scratch) -> DataFrame:
     """Rows (hash, chunk, doc_id, place) of the units ``wanted`` (doc_id, place, hash)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +97,9 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["hash", "chunk", "doc_id", "place"])
 
-    marks = wanted.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("place", "hash")).alias("marks"))
+    marks = scratch.table(wanted.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("place", "hash")).alias("marks")))
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long"), "text")
-    return rows.join(_small(marks), "doc_id").select("doc_id", "text", "marks").mapInArrow(lean(make), "hash long, chunk string, doc_id long, place int")
+    return rows.join(small(marks), "doc_id").select("doc_id", "text", "marks").mapInArrow(lean(make), "hash long, chunk string, doc_id long, place int")
 
 
 def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -114,14 +109,14 @@ def repeated(docs: DataFrame, scratch: Scratch) -> DataFrame:
     every = scratch.table(hashed(docs))
     first = F.min(F.struct("doc_id", "place")).alias("first")
     counted = scratch.table(every.groupBy("hash").agg(first, F.max(F.struct("doc_id", "place")).alias("last")).where("first <> last"))
-    shared = scratch.table(every.join(_small(counted.select("hash", "first")), "hash"))
-    texts = _texts(docs, shared.select("doc_id", "place", "hash"))
+    shared = scratch.table(joined(scratch, every, counted.select("hash", "first"), "hash"))
+    texts = _texts(docs, shared.select("doc_id", "place", "hash"), scratch)
     compared = scratch.table(texts.groupBy("hash").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).selectExpr("hash", "low = high AS same"))
-    gone = shared.join(_small(compared), "hash").where("same AND struct(doc_id, place) <> first").select(*marked)
+    gone = joined(scratch, shared, compared, "hash").where("same AND struct(doc_id, place) <> first").select(*marked)
     unlike = scratch.table(compared.where("NOT same").select("hash"))
     if not unlike.isEmpty():
-        mixed = shared.join(_small(unlike), "hash", "left_semi").select("doc_id", "place", "hash")
-        own = scratch.table(_texts(docs, mixed))
+        mixed = scratch.table(joined(scratch, shared, unlike, "hash").select("doc_id", "place", "hash"))
+        own = scratch.table(_texts(docs, mixed, scratch))
         firsts = own.groupBy("hash", "chunk").agg(first)
         gone = gone.unionByName(own.join(firsts, ["hash", "chunk"]).where("struct(doc_id, place) <> first").select(*marked))
     return scratch.table(gone.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("place", "hash", "first")).alias("marks")))
@@ -161,10 +156,9 @@ def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
             kinds = (pa.string(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["row", "text", "removed_chunks", "removed_lines"])
 
-    few = marks.count() <= BROADCAST_ROWS
     rest = [c for c in docs.columns if c != "text"]
     packed = docs.select(F.struct(*rest).alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id"))
-    packed = packed.join(F.broadcast(marks) if few else marks, "doc_id", "left").select("row", "text", "marks")
+    packed = packed.join(small(marks), "doc_id", "left").select("row", "text", "marks")
     kind = packed.schema["row"].dataType.simpleString()
     found = packed.mapInArrow(lean(cut), f"row {kind}, text string, removed_chunks long, removed_lines long")
     return found.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns], "removed_chunks", "removed_lines")

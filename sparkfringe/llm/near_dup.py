@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, lean, release
+from .common import Scratch, components, joined, lean, release, small
 
 WINDOW = 5
 SIMILARITY = 0.8
@@ -42,8 +42,6 @@ BANDS, TAKEN = 32, 3
 SHORT = 20
 #: Texts of a bucket in one block, their characters, and windows multiplied at once.
 BLOCK, BLOCK_CHARS, SLICE = 1024, 4_000_000, 2048
-#: Up to this many ids are broadcast instead of shuffling texts.
-BROADCAST_IDS = 1_000_000
 CACHE_WORDS = 200_000
 _WORD = re.compile(r"\w+")
 _RNG = np.random.default_rng(20240229)
@@ -190,8 +188,7 @@ def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Rows (key, words) of the nodes ``wanted`` (key, doc_id)."""
-    few = wanted.count() <= BROADCAST_IDS
-    wanted = F.broadcast(wanted) if few else wanted
+    wanted = small(wanted)
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     own = rows.join(wanted, "doc_id").select("text", "key")
     nameless = wanted.where("doc_id IS NULL").select("key")
@@ -309,9 +306,10 @@ def _classes(docs: DataFrame, scratch: Scratch, least: float) -> tuple[DataFrame
     )
     entries = nodes.select("key", F.explode("bands").alias("bucket"))
     shared = entries.groupBy("bucket").agg(F.min("key").alias("hub"), F.max("key").alias("other")).where("hub <> other")
-    members = scratch.table(entries.join(shared.select("bucket", "hub"), "bucket"))
+    members = scratch.table(joined(scratch, entries, scratch.table(shared.select("bucket", "hub")), "bucket"))
     pairs = scratch.table(members.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
-    texts = scratch.table(_texts(docs, members.select("key").distinct().join(nodes.select("key", "doc_id"), "key")))
+    wanted = scratch.table(members.select("key").distinct().join(nodes.select("key", "doc_id"), "key"))
+    texts = scratch.table(_texts(docs, wanted))
     links = scratch.table(_verified(pairs, texts, least))
     labels = components(scratch, links)
     labelled = members.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
@@ -320,14 +318,15 @@ def _classes(docs: DataFrame, scratch: Scratch, least: float) -> tuple[DataFrame
         labels = components(scratch, links.unionByName(more))
     named = nodes.select("key", "doc_id").join(labels.withColumnRenamed("node", "key"), "key", "left")
     named = named.select("key", "doc_id", F.coalesce("label", "key").alias("label"))
-    named = named.join(named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("key", "label", "class_id")
+    named = scratch.table(named)
+    named = joined(scratch, named, named.groupBy("label").agg(F.min("doc_id").alias("class_id")), "label").select("key", "label", "class_id")
     return rows, named
 
 
 def classes(docs: DataFrame, scratch: Scratch, least: float = SIMILARITY) -> DataFrame:
     """Rows (doc_id, class_id): one per row of ``docs``; class_id is the smallest doc_id of the class."""
     rows, named = _classes(docs, scratch, least)
-    found = rows.select("doc_id", "key").join(named, "key", "left")
+    found = joined(scratch, rows.select("doc_id", "key"), scratch.table(named), "key", "left")
     return scratch.keep(found.select("doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")))
 
 
@@ -338,18 +337,16 @@ def without_copies(docs: DataFrame, scratch: Scratch, least: float = SIMILARITY)
     stays (none comes last) with one text. Of equal doc_id and no words one row stays; without both all do.
     """
     rows, named = _classes(docs, scratch, least)
-    found = scratch.table(rows.select("doc_id", "key").join(named, "key", "left"))
+    found = scratch.table(joined(scratch, rows.select("doc_id", "key"), scratch.table(named), "key", "left"))
     mixed = scratch.keep(found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("own")))
     gone = scratch.keep(found.where("doc_id <> class_id").select(F.col("doc_id").alias("gone")).distinct())
 
-    def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
-
     own_id = F.col("doc_id").cast("long")
     nameless = found.where("doc_id IS NULL AND key IS NOT NULL")
     if mixed.isEmpty() and nameless.isEmpty():
         return docs.join(small(gone), own_id == F.col("gone"), "left_anti")
-    clear = docs.where("doc_id IS NOT NULL").join(small(gone.unionByName(mixed.withColumnRenamed("own", "gone")).distinct()), own_id == F.col("gone"), "left_anti")
+    away = scratch.keep(gone.unionByName(mixed.withColumnRenamed("own", "gone")).distinct())
+    clear = docs.where("doc_id IS NOT NULL").join(small(away), own_id == F.col("gone"), "left_anti")
     chosen = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("chosen")
     kept = found.where("key IS NOT NULL").groupBy("label").agg(chosen).select(F.col("chosen.doc_id").alias("kept_id"), F.col("chosen.key").alias("kept_key"))
 

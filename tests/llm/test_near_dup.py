@@ -157,3 +157,31 @@ def test_rows_of_one_doc_id_are_told_apart_by_their_words(spark):
     assert left.columns == docs.columns
     got = sorted(((r.doc_id, r.text and r.text.lower().replace(",", "")) for r in left.collect()), key=str)
     assert got == sorted([(1, a), (5, b), (7, c), (7, d), (8, ""), (None, "only here and there"), (None, None)], key=str)
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from sparkfringe.llm import common
+
+    monkeypatch.setattr(common, "HOT", 50)
+    left = spark.range(400).selectExpr("id", "CASE WHEN id < 150 THEN 1 WHEN id < 290 THEN NULL WHEN id < 360 THEN 9 ELSE id END AS k")
+    right = spark.createDataFrame([(1, "a"), (360, "b"), (399, "c"), (1000, "d")], "k long, v string")
+    with Scratch(spark) as scratch:
+        for how in ("inner", "left"):
+            got = common.joined(scratch, left, right, "k", how)
+            assert sorted(got.select("id", "v").collect(), key=str) == sorted(left.join(right, "k", how).select("id", "v").collect(), key=str)
+        edges = spark.range(300).selectExpr("0 AS a", "id + 1 AS b").union(spark.range(120).selectExpr("id + 300 AS a", "id + 301 AS b"))
+        assert {r.label for r in components(scratch, edges).collect()} == {0}
+
+
+def test_kept_tables_go_with_their_block(spark):
+    import os
+
+    from sparkfringe.llm.common import releasing, shared_dir
+
+    folder = shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    with releasing(spark):
+        with Scratch(spark) as scratch:
+            table = scratch.keep(spark.range(3))
+        assert table.count() == 3 and len(set(os.listdir(folder)) - before) == 1
+    assert set(os.listdir(folder)) == before
