@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkfringe.llm import line_dedup, mixing, near_dup, packing, toxicity
-from sparkfringe.llm.common import Scratch
+from sparkfringe.llm.common import Scratch, releasing
 from sparkfringe.llm.queries import tokenizer_path
 
 
@@ -70,7 +70,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     with Scratch(spark) as scratch:
-        for k, (_, stage) in enumerate(STAGES):
-            found = stage(spark, docs, sf_dir)
-            docs = scratch.keep(found) if k == len(STAGES) - 1 else scratch.table(found)
-    return docs
+        for _, stage in STAGES[:-1]:
+            with releasing(spark):
+                docs = scratch.table(stage(spark, docs, sf_dir))
+        return STAGES[-1][1](spark, docs, sf_dir)  # which writes its pieces itself
