@@ -30,7 +30,7 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, joined, lean, release, small
@@ -298,6 +298,14 @@ def _within(labelled: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return dealt.join(texts, "key").groupBy("bucket", "low", "high").applyInArrow(look, "a binary, b binary")
 
 
+def thinned(links: DataFrame) -> DataFrame:
+    """Fewer links that connect the same: each member stays with the least of its hubs, and that with its other hubs, which
+    members share. A member has no more hubs than buckets."""
+    least = F.min("a").over(Window.partitionBy("b")).alias("least")
+    each = links.select("a", "b", least)
+    return each.select(F.col("least").alias("a"), "b").unionByName(each.where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))).distinct()
+
+
 def _classes(docs: DataFrame, scratch: Scratch, least: float) -> tuple[DataFrame, DataFrame]:
     """Rows (doc_id, key, bands) of ``docs``, and (key, label, class_id) of the words there are."""
     rows = scratch.table(sketched(docs, least))
@@ -310,7 +318,7 @@ def _classes(docs: DataFrame, scratch: Scratch, least: float) -> tuple[DataFrame
     pairs = scratch.table(members.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
     wanted = scratch.table(members.select("key").distinct().join(nodes.select("key", "doc_id"), "key"))
     texts = scratch.table(_texts(docs, wanted))
-    links = scratch.table(_verified(pairs, texts, least))
+    links = scratch.table(thinned(_verified(pairs, texts, least)))
     labels = components(scratch, links)
     labelled = members.select("bucket", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
     more = scratch.table(_within(scratch.table(labelled.withColumn("label", F.coalesce("label", "key"))), texts, least))

@@ -185,3 +185,12 @@ def test_kept_tables_go_with_their_block(spark):
             table = scratch.keep(spark.range(3))
         assert table.count() == 3 and len(set(os.listdir(folder)) - before) == 1
     assert set(os.listdir(folder)) == before
+
+
+def test_thinned_links_connect_the_same(spark):
+    rng = random.Random(21)
+    links = sorted({(a, b) for _ in range(120) for a, b in [sorted(rng.sample(range(90), 2))]})
+    df = spark.createDataFrame(links, "a long, b long")
+    with Scratch(spark) as scratch:
+        want, got = ({r.node: r.label for r in components(scratch, x).collect()} for x in (df, near_dup.thinned(df)))
+    assert want == got
