@@ -40,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     one.add_argument("--transform", default="amplitude", choices=["raw", "amplitude", "phase", "real", "imag"])
     one.add_argument("--axis", default="gain_time", choices=["gain_time", "gain_freq"])
     one.add_argument("--corr", type=int, default=0)
+    one.add_argument("--mean-over", nargs="*", choices=tables.GAIN_AXES, help="axes to average over; all others if not given")
     return top
 
 
@@ -66,7 +67,8 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
             print(name)
             df.show(200, truncate=False)
     else:
-        data = tables.plot_data(tables.read_gains(spark, args.gains, args.term), args.transform, args.corr, args.axis, ("ant", "dir"), ("other",))
+        over = tables.GAIN_AXES if args.mean_over is None else args.mean_over
+        data = tables.plot_data(tables.read_gains(spark, args.gains, args.term), args.transform, args.corr, args.axis, ("ant", "dir"), [x for x in over if x not in ("ant", "dir", args.axis)])
         tables.write_plots(data, args.to, ["ant", "dir"], args.axis)
     return 0
 

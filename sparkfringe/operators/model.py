@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from math import pi
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,20 +56,93 @@ def source_id() -> Column:
     return F.xxhash64("model", "cluster", "type", "ra", "dec", "i", "q", "u", "v")
 
 
+#: Sources (per field) up to which tasks hold the sky model; products of rows and sources computed at once.
+HELD_SOURCES, AT_ONCE = 100_000, 1 << 20
+
+
+def cluster_order(names: Iterable[str]) -> list[str]:
+    """Clusters as directions: what is in none comes first, the others by name."""
+    return sorted(set(names), key=lambda c: (c != "DIE", c))
+
+
+def with_sky(vis: DataFrame, sources: DataFrame, fields: DataFrame, n_corr: int, circular: bool = False, name: str = "sky", invert_uvw: bool = False) -> DataFrame:
+    """``vis`` with the sum over sources of brightness times exp(2 pi i (u l + v m + w (n - 1)) / lambda), as an array over clusters.
+
+    Nothing is shuffled: a sky model of up to ``HELD_SOURCES`` sources goes to the tasks, which take some rows by all sources at a
+    time; a larger one is for :func:`predict`. Rows of fields without a centre get nothing from any source.
+    """
+    held = sources.limit(HELD_SOURCES + 1).toPandas()
+    if len(held) > HELD_SOURCES:
+        raise ValueError(f"a sky model of more than {HELD_SOURCES} sources must go through predict")
+    centres = {r.field: (r.phase_ra, r.phase_dec) for r in fields.select("field", "phase_ra", "phase_dec").toLocalIterator()}
+    names = cluster_order(held["cluster"])
+    own = [np.flatnonzero(held["cluster"].to_numpy() == c) for c in names]
+    h = {c: held[c].to_numpy(float) for c in ("ra", "dec", "i", "q", "u", "v", "spi", "ref_freq", "emaj", "emin", "pa")}
+    extended = held["type"].to_numpy() == "gauss"
+    spi = np.nan_to_num(h["spi"])
+    if circular:
+        four = [h["i"] + h["v"], h["q"] + 1j * h["u"], h["q"] - 1j * h["u"], h["i"] - h["v"]]
+    else:
+        four = [h["i"] + h["q"], h["u"] + 1j * h["v"], h["u"] - 1j * h["v"], h["i"] - h["q"]]
+    brightness = np.stack([four[k] for k in {1: (0,), 2: (0, 3), 4: (0, 1, 2, 3)}[n_corr]], 1).astype(complex)
+    sign, fwhm = (-1.0 if invert_uvw else 1.0), pi / (4 * 0.6931471805599453) ** 0.5
+
+    def waves(ra0: float, dec0: float, u: np.ndarray, v: np.ndarray, w: np.ndarray, freq: np.ndarray) -> np.ndarray:
+        l = np.cos(h["dec"]) * np.sin(h["ra"] - ra0)  # noqa: E741
+        m = np.sin(h["dec"]) * np.cos(dec0) - np.cos(h["dec"]) * np.sin(dec0) * np.cos(h["ra"] - ra0)
+        n = np.sqrt(np.maximum(1 - l * l - m * m, 0)) - 1
+        per = freq[:, None] / LIGHT
+        out = np.exp(2j * pi * per * (np.outer(u, l) + np.outer(v, m) + np.outer(w, n)))
+        if spi.any():
+            out *= np.where(spi == 0, 1.0, (freq[:, None] / h["ref_freq"]) ** spi)
+        if extended.any():
+            sin, cos, e = np.sin(h["pa"][extended]), np.cos(h["pa"][extended]), extended
+            along = (np.outer(u, sin) + np.outer(v, cos)) * per * h["emaj"][e] * fwhm
+            across = (np.outer(u, cos) - np.outer(v, sin)) * per * h["emin"][e] * fwhm
+            out[:, e] *= np.exp(-(along * along + across * across))
+        return out
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            field = batch.column("field").to_numpy(zero_copy_only=False)
+            x = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v", "w", "freq")}
+            total = np.zeros((batch.num_rows, len(names), n_corr), complex)
+            for f in np.unique(field):
+                rows = np.flatnonzero(field == f)
+                step = max(1, AT_ONCE // max(1, len(held)))
+                for at in range(0, len(rows) if f in centres else 0, step):
+                    part = rows[at : at + step]
+                    k = waves(*centres[f], *[sign * x[c][part] for c in "uvw"], x["freq"][part])
+                    for d, of in enumerate(own):
+                        total[part, d] = k[:, of] @ brightness[of]
+            flat = total.reshape(-1)
+            cells = pa.StructArray.from_arrays([pa.array(flat.real.copy()), pa.array(flat.imag.copy())], names=["re", "im"])
+            n = batch.num_rows * len(names)
+            inner = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * n_corr, pa.int32()), cells)
+            outer = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(names), pa.int32()), inner)
+            yield pa.RecordBatch.from_arrays([*batch.columns, outer], [*batch.schema.names, name])
+
+    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in vis.schema.fields]
+    return vis.mapInArrow(look, ", ".join([*kinds, f"`{name}` array<array<struct<re:double,im:double>>>"]))
+
+
 def predict(
     vis: DataFrame, sources: DataFrame, fields: DataFrame, n_corr: int, circular: bool = False, name: str = "sky",
     on: tuple[str, ...] = ("row_id", "chan"), invert_uvw: bool = False, beams: DataFrame | None = None,
 ) -> DataFrame:
     """The sum over sources of brightness times exp(2 pi i (u l + v m + w (n - 1)) / lambda), for each cluster.
 
-    Every source meets every visibility, as the measurement equation asks; the sources of a sky model are a
-    table of set size, so they go to the data and the sum is combined before it is shuffled. ``beams`` (see
+    Without beams and up to ``HELD_SOURCES`` sources this is :func:`with_sky`. Otherwise every source meets every visibility of its
+    field in a join, and the sum is combined before it is shuffled. ``beams`` (see
     :func:`beam_jones`) stand on either side of a source's brightness. Returns (scan, field, ddid, on, name array
-    over clusters in their order).
+    over clusters in the order of :func:`cluster_order`).
     """
+    if beams is None and {"row_id", "chan"} <= set(on) and _few(sources, HELD_SOURCES):
+        wanted = list(dict.fromkeys(["scan", "field", "ddid", *on, "freq", "u", "v", "w"]))
+        return with_sky(vis.select(*wanted), sources, fields, n_corr, circular, name, invert_uvw).select("scan", "field", "ddid", *on, name)
     keys = ["scan", "field", "ddid", *on]
     centre = fields.select("field", F.col("phase_ra").alias("_ra0"), F.col("phase_dec").alias("_dec0"))
-    each = sources.crossJoin(centre)
+    each = sources.crossJoin(centre)  # a sky model for each of the few fields
     l, m, n = lmn(F.col("ra"), F.col("dec"), F.col("_ra0"), F.col("_dec0"))  # noqa: E741
     each = each.select("field", source_id().alias("source"), "cluster", "type", "i", "q", F.col("u").alias("su"), F.col("v").alias("sv"), "spi", "ref_freq", "emaj", "emin", "pa", l.alias("l"), m.alias("m"), n.alias("n"))
     more = ["time", "ant1", "ant2"] if beams is not None else []
@@ -93,7 +169,7 @@ def predict(
     sums = [s for c, x in enumerate(cells) for s in (F.sum(x.re).alias(f"re{c}"), F.sum(x.im).alias(f"im{c}"))]
     total = rows.groupBy(*keys, "cluster").agg(*sums)
     jones = Jones(tuple(Cx(F.col(f"re{c}"), F.col(f"im{c}")) for c in range(n_corr))).column()
-    return total.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cluster", jones.alias("j")))).alias("_c")).select(*keys, F.col("_c.j").alias(name))
+    return total.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((F.col("cluster") != "DIE").alias("later"), "cluster", jones.alias("j")))).alias("_c")).select(*keys, F.col("_c.j").alias(name))
 
 
 def _few(sources: DataFrame, limit: int = 100_000) -> bool:

@@ -167,8 +167,11 @@ def add_sky(spark: SparkSession, vis: DataFrame, tables: dict[str, DataFrame], c
         beams_of = lambda src: model.beam_jones(src, tables["FIELD"], turns, chans, grid, list(options.beam_l_axis), list(options.beam_m_axis))
     for name in recipe.sky_models:
         src = sources.read_sky_models(spark, {name: tags[name]})
-        clusters[name] = sorted(r["cluster"] for r in src.select("cluster").distinct().collect())
-        sky = model.predict(vis, src, tables["FIELD"], n_corr, circular, model.column_of(name), invert_uvw=options.invert_uvw, beams=beams_of(src) if beams_of else None)
+        clusters[name] = model.cluster_order(r["cluster"] for r in src.select("cluster").distinct().collect())
+        if beams_of is None:
+            vis = model.with_sky(vis, src, tables["FIELD"], n_corr, circular, model.column_of(name), options.invert_uvw)
+            continue
+        sky = model.predict(vis, src, tables["FIELD"], n_corr, circular, model.column_of(name), invert_uvw=options.invert_uvw, beams=beams_of(src))
         vis = vis.join(sky, [*KEYS, "row_id", "chan"])
     return vis, {n: c for n, c in clusters.items() if tags[n]}
 

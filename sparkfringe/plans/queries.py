@@ -569,9 +569,9 @@ def predict(spark, sf_dir):
 
     sources = spark.createDataFrame(rows, SOURCES)
     fields = spark.range(2).select(F.col("id").cast("int").alias("field"), F.lit(0.5).alias("phase_ra"), F.lit(-0.6).alias("phase_dec"))
-    sky = model.predict(visibilities(spark, sf_dir), sources, fields, N_CORR, on=("chan",))
-    one = lambda d, k, p: _r(F.col("sky")[d][k][p], 3)
-    return sky.select("scan", "chan", one(0, 0, "re").alias("c0re"), one(0, 0, "im").alias("c0im"), one(1, 1, "re").alias("c1re"))
+    sky = model.with_sky(visibilities(spark, sf_dir).select("scan", "field", "chan", "freq", "u", "v", "w"), sources, fields, N_CORR)
+    one = lambda d, k, p: _r(F.sum(F.col("sky")[d][k][p]), 3)
+    return sky.groupBy("scan", "chan").agg(one(0, 0, "re").alias("c0re"), one(0, 0, "im").alias("c0im"), one(1, 1, "re").alias("c1re"))
 
 
 @query("""SELECT l_linenumber - 1 AS chan, round(sum(sqrt((l_quantity / 10) ** 2 + (l_tax * 10) ** 2)), 4) AS amplitude, round(sum(cos(atan2(l_tax * 10, l_quantity / 10))), 4) AS cos, round(sum(sin(atan2(l_tax * 10, l_quantity / 10))), 4) AS sin FROM lineitem GROUP BY ALL""")
@@ -664,7 +664,7 @@ def plotted_phases(spark, sf_dir):
     """The phase of the second correlation over time, flagged gains left out, averaged over frequency and chunks."""
     from ..sources.tables import plot_data
 
-    return _rounded(plot_data(gains_of(chunked(spark, sf_dir)), "phase", 1, "t_bin", ("ant",), ("f_bin",)), "value")
+    return _rounded(plot_data(gains_of(chunked(spark, sf_dir)), "phase", 1, "t_bin", ("ant",), ("f_bin", *CHUNK, "dir")), "value")
 
 
 @query("""WITH s AS (SELECT user_id % 50 AS k, event_id, value AS x, event_id % 7 <> 0 AS good, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id % 50) AS n FROM events),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import binning
 from ..plans.config import CORRELATIONS
-from ..plans.schemas import KEYS, SOURCES, SUB_TABLES
+from ..plans.schemas import CHUNK, KEYS, SOURCES, SUB_TABLES
 
 
 def read_sub_tables(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -126,9 +126,12 @@ def _angle(text: str, hours: bool) -> float:
     return sign * whole * (15 if hours else 1) * pi / 180
 
 
-def parse_sky_model(text: str, name: str, tags: Sequence[str] = (), default_freq: float = 1.4e9) -> list[tuple]:
-    """Rows of SOURCES from an HTML table or a text with a header line. With tags, sources go to the cluster of the first tag
-    they have, others to the field's cluster; without, all are one."""
+def parse_sky_model(text: str, name: str, tags: Sequence[str] = ()) -> list[tuple]:
+    """Rows of SOURCES from an HTML table or a text with a header line.
+
+    A source with one of ``tags`` is in the cluster that its tag ``cluster=...`` names, or else in one of its own name; all others
+    are in ``DIE``. A source without a reference frequency has that of the first source; where that has none, spectra are flat.
+    """
     if "<t" in text.lower():
         reader = _Rows()
         reader.feed(text)
@@ -138,16 +141,18 @@ def parse_sky_model(text: str, name: str, tags: Sequence[str] = (), default_freq
     if not lines:
         return []
     head = [x.lower() for x in lines[0]]
+    sources = [dict(zip(head, line, strict=False)) for line in lines[1:]]
+    number = lambda row, key, other=0.0: float(row[key]) if row.get(key) not in (None, "", "-") else other
+    default = number(sources[0], "freq0") if sources else 0.0
     out = []
-    for line in lines[1:]:
-        row = dict(zip(head, line, strict=False))
-        number = lambda key, other=0.0: float(row[key]) if row.get(key) not in (None, "", "-") else other  # noqa: B023, E731
-        own = row.get("tags", "").replace(";", ",").split(",")
-        cluster = next((t for t in tags if t in own), "die" if not tags else "rest")
+    for k, row in enumerate(sources):
+        own = dict(t.lstrip("+").partition("=")[::2] for t in row.get("tags", "").replace(";", ",").split(","))
+        tagged = not set(tags).isdisjoint(own)
+        cluster = own.get("cluster") or row.get("name") or f"source{k}" if tagged else "DIE"
         out.append((
-            name, cluster, "gauss" if number("emaj") else "point", _angle(row["ra"], ":" in row["ra"]), _angle(row["dec"], False),
-            number("i"), number("q"), number("u"), number("v"), number("spi"), number("freq0", default_freq),
-            number("emaj"), number("emin"), number("pa"),
+            name, cluster, "gauss" if number(row, "emaj") else "point", _angle(row["ra"], ":" in row["ra"]), _angle(row["dec"], False),
+            number(row, "i"), number(row, "q"), number(row, "u"), number(row, "v"), number(row, "spi") if default else 0.0,
+            number(row, "freq0", default) if default else 1e9, number(row, "emaj"), number(row, "emin"), number(row, "pa"),
         ))
     return out
 
@@ -201,8 +206,13 @@ def _fits(content: bytes, block: int):
     return header, data
 
 
+#: What tells gains of a term apart.
+GAIN_AXES = (*CHUNK, "t_bin", "f_bin", "gain_time", "gain_freq", "ant", "dir")
+
+
 def plot_data(gains: DataFrame, transform: str = "amplitude", corr: int = 0, axis: str = "gain_time", by: Sequence[str] = ("ant",), mean_over: Sequence[str] = (), low: float | None = None, high: float | None = None) -> DataFrame:
-    """What a gain plot shows: (by, axis, value), flagged gains as null, averaged over other axes."""
+    """What a gain plot shows: (by, axis, value), flagged gains as null; with ``mean_over``, (by, the axes left, axis, value),
+    averaged over those axes alone."""
     from ..functions.jones import Cx
 
     x = Cx.of(F.col("g")[corr])
@@ -214,7 +224,10 @@ def plot_data(gains: DataFrame, transform: str = "amplitude", corr: int = 0, axi
     if high is not None:
         rows = rows.where(F.col(axis) <= high)
     rows = rows.withColumn("value", value)
-    return rows.groupBy(*by, axis).agg(F.avg("value").alias("value")) if mean_over else rows.select(*by, axis, "value")
+    if not mean_over:
+        return rows.select(*by, axis, "value")
+    kept = [c for c in GAIN_AXES if c in rows.columns and c not in (*by, axis, *mean_over)]
+    return rows.groupBy(*by, *kept, axis).agg(F.avg("value").alias("value"))
 
 
 def write_plots(data: DataFrame, path: str, by: Sequence[str], axis: str) -> DataFrame:

@@ -256,7 +256,11 @@ def test_rotation_takes_itself_off(spark):
 def test_sky_models(spark):
     text = "#name ra dec i spi emaj tags\nA 1:00:00 -30.30.00 2.0 -0.7 0 dE\nB 15.0 -30.0 1.0 0 1e-5 x\nC 15.0 -30.0 1.0 0 0 x"
     rows = tables.parse_sky_model(text, "m", ("dE",))
-    assert [(r[1], r[2]) for r in rows] == [("dE", "point"), ("rest", "gauss"), ("rest", "point")]
+    assert [(r[1], r[2]) for r in rows] == [("A", "point"), ("DIE", "gauss"), ("DIE", "point")]
+    assert all(r[9] == 0 and r[10] == 1e9 for r in rows)  # without any reference frequency all are flat
+    tagged = "#name ra dec i spi freq0 tags\nA 1.0 2.0 1 -0.7 1.2e9 +dE,cluster=far\nB 1.0 2.0 1 -0.5 - dE,cluster=far\nC 1.0 2.0 1 0 - dE\nD 1.0 2.0 1 0 1.5e9 x"
+    assert [(r[1], r[9], r[10]) for r in tables.parse_sky_model(tagged, "m", ("dE",))] == [("far", -0.7, 1.2e9), ("far", -0.5, 1.2e9), ("C", 0.0, 1.2e9), ("DIE", 0.0, 1.5e9)]
+    assert {r[1] for r in tables.parse_sky_model(tagged, "m")} == {"DIE"} and model.cluster_order(["b", "DIE", "a"]) == ["DIE", "a", "b"]
     assert abs(rows[0][3] - math.radians(15)) < 1e-12 and abs(rows[0][4] + math.radians(30.5)) < 1e-12
     html = "<table><tr><th>name<th>ra</th><th>dec</th><th>i</th></tr><tr><td>A</td><td>10.0</td><td>-5.0</td><td>3</td></tr></table>"
     assert tables.parse_sky_model(html.replace("<th>name", "<th>name</th>"), "h")[0][5] == 3.0
@@ -264,7 +268,17 @@ def test_sky_models(spark):
     fields = spark.createDataFrame([(0, math.radians(15), math.radians(-30.5))], "field int, phase_ra double, phase_dec double")
     vis = spark.createDataFrame([(0, 0, 0, 1, 0, 1.4e9, 0.0, 0.0, 0.0)], "scan int, field int, ddid int, row_id long, chan int, freq double, u double, v double, w double")
     sky = model.predict(vis, sources, fields, 4).first().sky
-    assert len(sky) == 2 and abs(sky[0][0].re - 2.0) < 1e-9 and abs(sky[1][3].re - 2.0) < 1e-9
+    assert len(sky) == 2 and abs(sky[1][0].re - 2.0) < 1e-9 and abs(sky[0][3].re - 2.0) < 1e-9
+    far = vis.unionByName(vis.selectExpr("scan", "0 AS field", "ddid", "2L AS row_id", "1 AS chan", "1.5e9D AS freq", "310.0D AS u", "-120.0D AS v", "7.0D AS w"))
+    shaped = spark.createDataFrame([("m", c, kind, math.radians(ra), -0.53, i, 0.3, 0.2, 0.1, spi, 1.4e9, e, e / 2, 0.4) for c, kind, ra, i, spi, e in (("a", "gauss", 15.1, 2.0, -0.7, 1e-4), ("a", "point", 14.9, 1.0, 0.0, 0.0), ("DIE", "point", 15.2, 3.0, 0.5, 0.0))], tables.SOURCES)
+    for n_corr, circular in ((4, False), (4, True), (2, False), (1, False)):
+        held = model.predict(far, shaped, fields, n_corr, circular, invert_uvw=True).orderBy("row_id").collect()
+        few, model._few = model._few, lambda *_: False
+        try:
+            by_join = model.predict(far, shaped, fields, n_corr, circular, invert_uvw=True).orderBy("row_id").collect()
+        finally:
+            model._few = few
+        assert np.allclose([[[(z.re, z.im) for z in j] for j in r.sky] for r in held], [[[(z.re, z.im) for z in j] for j in r.sky] for r in by_join])
 
 
 def test_tables_round_trip(spark, tmp_path):
