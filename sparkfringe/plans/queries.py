@@ -377,7 +377,7 @@ def mad_of_baselines(spark, sf_dir):
 
 @query(f"{_LONG} SELECT {_CHUNK_CAST}, corr, {_ROUNDED} FROM c")
 def mad_of_chunks(spark, sf_dir):
-    return _rounded(flagging.mad_and_median(_long(spark, sf_dir), [*CHUNK, "corr"]), *_MAD)
+    return _rounded(flagging.chunk_mad_and_median(_long(spark, sf_dir), [*CHUNK, "corr"]), *_MAD)
 
 
 @query(f"{_LONG} SELECT {_CHUNK_CAST}, corr, round(re_mean, 6) AS re_mean, round(im_mean, 6) AS im_mean, round(re_std, 6) AS re_std, round(im_std, 6) AS im_std FROM s")
