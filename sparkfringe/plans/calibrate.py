@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import logging
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import angles, apply, binning, flagging, interpolation, model, preprocess, solver, stats
+from ..operators import angles, apply, bda, binning, flagging, interpolation, model, preprocess, solver, stats
 from ..sources import tables as sources
 from .config import Config, TermOptions, final_config, parse_recipe
 from .schemas import CHUNK, JONES, KEYS
@@ -28,6 +28,12 @@ class Outcome:
     stats: DataFrame
     net: dict[str, DataFrame]
     baseline: DataFrame | None
+    held: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Gives back what the run persisted; call it when the results have been written."""
+        for df in self.held:
+            df.unpersist()
 
     def log(self) -> None:
         for row in solver.convergence(self.conv).collect():
@@ -105,6 +111,10 @@ def calibrate(
         LOG.debug(line)
     spark, ms = vis.sparkSession, config.input_ms
     vis = preprocess.require_rows(preprocess.select_partitions(vis, ms.select_fields, ms.select_ddids))
+    if ms.data_column != "data":
+        vis = vis.withColumn("data", F.col(ms.data_column))
+    if "scan" not in ms.group_by:
+        vis = vis.withColumn("scan", F.lit(0))
     if ms.select_corr:
         vis = preprocess.select_correlations(vis, ms.select_corr, n_corr)
         n_corr = len(ms.select_corr)
@@ -118,11 +128,12 @@ def calibrate(
     vis = bin_terms(vis, times, chans, config.chain()).persist(StorageLevel.MEMORY_AND_DISK)
     plan = solver.Plan(tuple(config.chain()), config.solver, n_corr, n_ant, circular)
     result = solver.solve(vis, plan, load_terms(spark, vis, config, n_corr, turns)).persist(StorageLevel.MEMORY_AND_DISK)
+    held = [vis, result]
     found = solver.split(result)
     on = [*CHUNK, "row_id", "chan"]
     kept = found["vis"].select(*on, F.col("flag").alias("_flag"), F.col("weight").alias("_weight"))
     flag = F.col("_flag") if config.solver.propagate_flags else F.col("flag")
-    out = vis.join(kept, on).withColumns({"flag": flag, "weight": F.col("_weight")}).drop("_flag", "_weight")
+    out = vis.join(kept, on).withColumns({"flag": flag, "native_weight": F.col("weight"), "weight": F.col("_weight")}).drop("_flag", "_weight")
     terms = [apply.Term(t.name, t.direction_dependent) for t in config.chain()]
     out = apply.attach_gains(out, found["gain"], terms)
     out = apply.residual(out, terms, n_corr, n_dir, config.output.subtract_directions)
@@ -138,8 +149,9 @@ def calibrate(
             out = apply.apply_baseline_corrections(out, baseline, n_corr, "corrected_residual")
     if config.mad_flags.enable:
         mad = config.mad_flags
-        out = flagging.whitened(out, n_corr, weights=None if mad.whitening == "disabled" else "weight")
-        out = flagging.mad_flags(out, n_corr, mad.threshold_bl, mad.threshold_global, mad.max_deviation, mad.use_off_diagonals)
+        weights = {"disabled": None, "native": "native_weight", "robust": "weight"}[mad.whitening]
+        out = flagging.whitened(out, n_corr, weights=weights)
+        out = flagging.mad_flags(out, n_corr, mad.threshold_bl, mad.threshold_global, mad.max_deviation, mad.use_off_diagonals, held=held)
     if config.output.apply_p_jones_inv:
         if turns is None:
             raise ValueError("derotation needs parallactic angles")
@@ -152,7 +164,7 @@ def calibrate(
         grid = out.select(*CHUNK, *bins, "time", "chan").distinct()
         net["".join(names)] = apply.net_gains(found["gain"], grid, own, n_corr)
     out = preprocess.final_flags(out, n_corr)
-    return Outcome(out, found["gain"], found["param"], found["conv"], found["stats"], net, baseline)
+    return Outcome(out, found["gain"], found["param"], found["conv"], found["stats"], net, baseline, held)
 
 
 def add_sky(spark: SparkSession, vis: DataFrame, tables: dict[str, DataFrame], chans: DataFrame, config: Config, n_corr: int, circular: bool, turns: DataFrame | None) -> tuple[DataFrame, dict[str, list[str]]]:
@@ -181,7 +193,9 @@ def run(spark: SparkSession, config: Config) -> Outcome:
     tables = sources.read_sub_tables(spark, config.input_ms.path)
     vis = sources.with_axes(sources.read_main(spark, config.input_ms.path), tables)
     n_ant = tables["ANTENNA"].agg(F.max("ant")).first()[0] + 1
-    names = sources.correlation_names(tables, vis.select("ddid").first()[0])
+    names = sources.one_set_of_names(tables, preprocess.select_partitions(vis, config.input_ms.select_fields, config.input_ms.select_ddids))
+    if config.input_ms.is_bda:
+        vis = bda.regular(vis)
     chans = binning.channels(tables["SPECTRAL_WINDOW"], tables["DATA_DESCRIPTION"])
     circular, turns = names[0][0] in "RL", None
     if config.output.apply_p_jones_inv or config.input_model.apply_p_jones or config.input_model.beam or any(t.type == "parallactic_angle" for t in config.chain()):
@@ -195,7 +209,8 @@ def run(spark: SparkSession, config: Config) -> Outcome:
     to = config.output.path
     if to:
         if config.output.products:
-            sources.write_products(found.vis, to, dict(zip(config.output.products, config.output.columns, strict=True)))
+            written = bda.restored(found.vis, config.output.products, len(names)) if config.input_ms.is_bda else found.vis
+            sources.write_products(written, to, dict(zip(config.output.products, config.output.columns, strict=True)), flags=config.output.flags)
         sources.write_gains(found.gain, f"{to}/gains")
         sources.write_gains(found.param, f"{to}/params")
         for name, net in found.net.items():

@@ -108,7 +108,7 @@ class InputOptions:
     def __post_init__(self) -> None:
         self.time_chunk, self.freq_chunk = as_time(self.time_chunk), as_freq(self.freq_chunk)
         _check(not self.weight_column or not self.sigma_column, "give a weight column or a sigma column")
-        _check({"field", "ddid"} <= set(self.group_by), "rows must be grouped by field and ddid at least")
+        _check({"field", "ddid"} <= set(self.group_by) <= {"scan", "field", "ddid"}, "rows are grouped by field and ddid, and scan or not")
         _check(len(self.select_uv_range) == 2, "a uv range has two ends")
         _check(not self.is_bda or bool(self.weight_column), "averaged data need a weight column")
 
@@ -223,6 +223,7 @@ class Config:
     def __post_init__(self) -> None:
         for name in self.solver.terms:
             self.terms.setdefault(name, TermOptions(name))
+        _check(self.mad_flags.whitening != "robust" or self.solver.robust, "robust whitening needs the robust solver")
         _check(set(self.terms) == set(self.solver.terms), "a section doesn't belong to a term of solver.terms")
         for net in self.output.net_gains:
             _check(set(net) <= set(self.solver.terms), "net gains are products of terms")

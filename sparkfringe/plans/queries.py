@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jones import Cx, Jones, baseline_id, to_interpolable
 from ..operators import angles, apply, bda, binning, flagging, interpolation, model, preprocess, solver, stats, weights
-from . import chains, planted
+from . import chains, planted, stored
 from .config import parse_recipe
 from .schemas import CHUNK, KEYS
 
@@ -676,5 +676,5 @@ def smoothed_series(spark, sf_dir):
     return interpolation.smooth(e, ["k"], "event_id", "x", "good").select("k", "event_id", _r(F.col("smoothed")).alias("smoothed"))
 
 
-QUERIES |= planted.QUERIES | chains.QUERIES
-ORACLE_SQL |= planted.ORACLE_SQL | {name: _shifted(sql) for name, sql in chains.ORACLE_SQL.items()}
+QUERIES |= planted.QUERIES | chains.QUERIES | stored.QUERIES
+ORACLE_SQL |= planted.ORACLE_SQL | {name: _shifted(sql) for name, sql in (chains.ORACLE_SQL | stored.sql()).items()}

@@ -54,14 +54,22 @@ def write_main(vis: DataFrame, path: str, mode: str = "errorifexists") -> None:
     vis.write.mode(mode).partitionBy(*KEYS).parquet(f"{path}/MAIN")
 
 
-def write_products(vis: DataFrame, path: str, products: dict[str, str], original: DataFrame | None = None) -> None:
+def one_set_of_names(tables: dict[str, DataFrame], vis: DataFrame) -> list[str]:
+    """The correlations of all data descriptions that ``vis`` has; rows of unlike ones can't be calibrated as one table."""
+    sets = {tuple(correlation_names(tables, r.ddid)) for r in vis.select("ddid").distinct().collect()}
+    if len(sets) != 1:
+        raise ValueError(f"correlations differ between data descriptions: {sorted(sets)}; choose some with select_ddids")
+    return list(sets.pop())
+
+
+def write_products(vis: DataFrame, path: str, products: dict[str, str], original: DataFrame | None = None, flags: bool = True) -> None:
     """A new version of the main table with products under the columns they are wanted in.
 
     Tables are replaced by versions, never in place, so a reader of the old one isn't disturbed. With
     ``original``, its other columns are kept, joined by row and channel.
     """
     on = [*KEYS, "row_id", "chan"]
-    own = vis.select(*on, *[F.col(p).alias(c) for p, c in products.items()], *[c for c in ("flag", "flag_row") if c in vis.columns])
+    own = vis.select(*on, *[F.col(p).alias(c) for p, c in products.items()], *[c for c in ("flag", "flag_row") if flags and c in vis.columns])
     if original is not None:
         own = original.drop(*[c for c in own.columns if c not in on]).join(own, on)
     write_main(own, path)
