@@ -64,6 +64,8 @@ PATTERNS = (
     re.compile(r"!{3,}"),
     re.compile(r"\b[A-Z]{4,}\b(?:\W+\b[A-Z]{4,}\b){3,}"),
 )
+#: What a text must hold for a pattern to be looked for.
+NEEDED = ("!", "", "!!!", "")
 GRADES = len(HITS) + len(DENSITIES)
 #: Features before those of single words: grades of the mined lexicons, the public lists, the patterns.
 WIDTH = len(KINDS) * GRADES + len(INSULTS) + len(PATTERNS)
@@ -93,35 +95,45 @@ class Model:
 
     def __post_init__(self) -> None:
         self.places = {t: WIDTH + k for k, t in enumerate(sorted(t[1:] for t in self.terms if t[0] == "0"))}
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: The beginnings of all words that mean anything.
+        self.heads = {t[1 : 1 + KINDS[1]] for t in self.terms} | {w[: KINDS[1]] for known in INSULTS.values() for w in known}
+        #: Words looked at, and of those that mean anything their mined lexicons and places.
+        self.seen: set[str] = set()
+        self.telling: dict[str, tuple[tuple[int, ...], tuple[int, ...]]] = {}
 
     def width(self) -> int:
         return WIDTH + len(self.places)
 
-    def _kinds(self, word: str) -> tuple[int, ...]:
-        """The mined lexicons that a word is in."""
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > CACHE_WORDS:
-                self.known.clear()
-            found = self.known[word] = tuple(k for k, t in enumerate(terms_of(word)) if t in self.terms)
-        return found
+    def _look(self, new: set[str]) -> None:
+        if len(self.seen) > CACHE_WORDS:
+            self.seen.clear()
+            self.telling.clear()
+        at, fewest = len(KINDS) * GRADES, KINDS[1]
+        for word in new:
+            if word[:fewest] not in self.heads:
+                continue
+            kinds = tuple(k for k, t in enumerate(terms_of(word)) if t in self.terms)
+            places = [at + k for k, known in enumerate(INSULTS.values()) if word in known]
+            if word in self.places:
+                places.append(self.places[word])
+            if kinds or places:
+                self.telling[word] = kinds, tuple(places)
+        self.seen |= new
 
     def hits(self, text: str | None) -> tuple[list[int], int, list[int]]:
         """Hits of each mined lexicon, the number of words, and places of words, public lists and patterns."""
         own = words(text)
-        hits, places = [0] * len(KINDS), []
-        counted = Counter(own)
-        for word, n in counted.items():
-            for k in self._kinds(word):
-                hits[k] += n
-            if word in self.places:
-                places.append(self.places[word])
-        at = len(KINDS) * GRADES
-        places += [at + k for k, known in enumerate(INSULTS.values()) if not known.isdisjoint(counted)]
-        at += len(INSULTS)
-        places += [at + k for k, p in enumerate(PATTERNS) if text and p.search(text)]
-        return hits, len(own), places
+        hits, places, counted = [0] * len(KINDS), set(), Counter(own)
+        new = counted.keys() - self.seen
+        if new:
+            self._look(new)
+        for word in counted.keys() & self.telling.keys():
+            kinds, found = self.telling[word]
+            for k in kinds:
+                hits[k] += counted[word]
+            places.update(found)
+        at = len(KINDS) * GRADES + len(INSULTS)
+        return hits, len(own), [*sorted(places), *[at + k for k, p in enumerate(PATTERNS) if text and NEEDED[k] in text and p.search(text)]]
 
     def found(self, text: str | None) -> list[int]:
         """Places of the features that a text has."""
