@@ -287,7 +287,7 @@ def _found(texts: DataFrame, model: Model) -> tuple[list[list[int]], np.ndarray]
             out = [pa.array([model.found(t) for t in own], pa.list_(pa.int32())), pa.array([model.votes(t) for t in own], pa.list_(pa.int8()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *out], ["doc_id", "found", "votes"])
 
-    rows = texts.select("doc_id", "text").mapInArrow(lean(look), "doc_id long, found array<int>, votes array<byte>").orderBy("doc_id").toPandas()
+    rows = texts.select("doc_id", "text").mapInArrow(lean(look), "doc_id long, found array<int>, votes array<byte>").toPandas().sort_values("doc_id", ignore_index=True)
     return [list(map(int, f)) for f in rows["found"]], np.stack(rows["votes"].to_list()).astype(np.int8)
 
 
