@@ -417,8 +417,11 @@ class TermState:
     jhj: np.ndarray = field(default=None)  # type: ignore[assignment]
     loops: int = 0
     converged: float = 0.0
+    whole: tuple[int, int, int, int] | None = None  # the shape, where a chunk is only a part of its rows
 
     def shape(self, chunk: Chunk) -> tuple[int, int, int, int]:
+        if self.whole:
+            return self.whole
         n_dir = chunk.model.shape[1] if self.dependent else 1
         return (int(self.t.max(initial=-1)) + 1, int(self.f.max(initial=-1)) + 1, chunk.n_ant, n_dir)
 
@@ -429,19 +432,26 @@ class TermState:
         return self.kind.gains(self.x[self.at(ant, direction)], chunk.freq)
 
 
-def start(chunk: Chunk, term: TermState) -> None:
+def covered(chunk: Chunk, term: TermState) -> np.ndarray:
+    """Intervals and antennas with data that aren't hard flagged."""
+    good, fine = np.zeros(term.shape(chunk)[:3], bool), chunk.flag != 1
+    for ant in (chunk.ant1, chunk.ant2):
+        good[term.t[fine], term.f[fine], ant[fine]] = True
+    return good
+
+
+def prepare(term: TermState, shape: tuple[int, int, int, int], good: np.ndarray) -> None:
     """Unknowns at their start, and flags: antennas and intervals all of whose data are flagged."""
-    shape = term.shape(chunk)
     if term.x is None:
         term.x = term.kind.start(shape)
-    good = np.zeros(shape[:3], bool)
-    fine = chunk.flag != 1
-    for ant in (chunk.ant1, chunk.ant2):
-        good[term.t[fine], term.f[fine], ant[fine]] = True
     term.flags = np.repeat(np.where(good, 0, 1)[..., None], shape[3], 3).astype(np.int8)
     term.x[term.flags == 1] = term.kind.start((1,))[0]
 
 
+def start(chunk: Chunk, term: TermState) -> None:
+    prepare(term, term.shape(chunk), covered(chunk, term))
+
+
 def model_visibilities(chunk: Chunk, chain: list[TermState], directions=None) -> np.ndarray:
     """The corrupted model, summed over directions."""
     full, out = chunk.n_corr == 4, 0
@@ -453,12 +463,18 @@ def model_visibilities(chunk: Chunk, chain: list[TermState], directions=None) ->
     return as_vector(out, chunk.n_corr)
 
 
-def chi_squared(chunk: Chunk, chain: list[TermState]) -> float:
+def chi_sums(chunk: Chunk, chain: list[TermState]) -> tuple[float, int]:
+    """Weighted squares of residuals, and how many values they are of."""
     good = chunk.flag == 0
     if not good.any():
-        return float("nan")
+        return 0.0, 0
     r = (chunk.data - model_visibilities(chunk, chain))[good]
-    return float((chunk.weight[good] * np.abs(r) ** 2).sum() / (good.sum() * chunk.n_corr))
+    return float((chunk.weight[good] * np.abs(r) ** 2).sum()), int(good.sum()) * chunk.n_corr
+
+
+def chi_squared(chunk: Chunk, chain: list[TermState]) -> float:
+    total, n = chi_sums(chunk, chain)
+    return total / n if n else float("nan")
 
 
 def _product(chunk: Chunk, terms: list[TermState], ant: np.ndarray, d: int) -> np.ndarray:
@@ -586,98 +602,163 @@ def _spread(jhj: np.ndarray, groups: list[list[int]]) -> np.ndarray:
     return out
 
 
-def solve_term(chunk: Chunk, chain: list[TermState], active: int, stop_fraction: float = 0.99, criterion: float = 1e-6, reference: int = 0, propagate: bool = True) -> None:
-    """Gauss-Newton iterations of one term with the others fixed."""
-    term = chain[active]
-    kind, shape = term.kind, term.shape(chunk)
-    start_value = kind.start((1,))[0]
-    edges = np.array([chunk.freq.min(), chunk.freq.mean(), chunk.freq.max()]) if len(chunk.freq) else np.ones(3)
-    look = lambda x: np.stack([kind.gains(x, np.full(x.shape[:-1], f)) for f in edges], -1)
-    before = look(term.x)
-    moved, trend = np.zeros(shape), np.zeros(shape)
-    term.loops, term.converged = 0, 0.0
-    if not kind.solvable or not term.iterations:
-        if kind.solvable:
-            term.jhj = normal_equations(chunk, chain, active)[0].reshape(*shape, kind.count(), kind.count())
-        return
-    for loop in range(term.iterations):
-        jhj, jhr = _collapse(term, shape, *normal_equations(chunk, chain, active))
+class Iteration:
+    """Gauss-Newton iterations of one term: what they need to know besides the sums over the data."""
+
+    def __init__(self, term: TermState, shape: tuple[int, int, int, int], freqs: tuple[float, float, float], stop_fraction: float = 0.99, criterion: float = 1e-6):
+        self.term, self.shape, self.freqs, self.stop_fraction, self.criterion = term, shape, freqs, stop_fraction, criterion
+        self.start_value = term.kind.start((1,))[0]
+        self.before = self.look()
+        self.moved, self.trend = np.zeros(shape), np.zeros(shape)
+        term.loops, term.converged = 0, 0.0
+
+    def look(self) -> np.ndarray:
+        """The gains at the ends and the middle of the band."""
+        x = self.term.x
+        return np.stack([self.term.kind.gains(x, np.full(x.shape[:-1], f)) for f in self.freqs], -1)
+
+    def step(self, jhj: np.ndarray, jhr: np.ndarray) -> bool:
+        """Moves the unknowns by the normal equations; tells whether enough of them have come to rest."""
+        term, kind, shape, loop = self.term, self.term.kind, self.shape, self.term.loops
+        jhj, jhr = _collapse(term, shape, jhj, jhr)
         update = _solved(jhj, jhr).reshape(term.x.shape)
         if term.dependent:
             update[:, :, :, list(term.pinned)] = 0
         term.x = np.where((term.flags == 1)[..., None], term.x, term.x + kind.step(loop, term.dependent) * update)
         term.jhj, term.loops = jhj.reshape(*shape, kind.count(), kind.count()), loop + 1
-        now = look(term.x)
+        now = self.look()
         axes = tuple(range(4, now.ndim))
-        size, change = (np.abs(before) ** 2).sum(axes), (np.abs(now - before) ** 2).sum(axes)
+        size, change = (np.abs(self.before) ** 2).sum(axes), (np.abs(now - self.before) ** 2).sum(axes)
         hard = term.flags == 1
         dead = ~hard & (size == 0)
         term.flags[dead] = 1
         done = np.zeros(shape, bool)
         if loop >= 2:
-            older = trend.copy()
-            trend = np.where(hard | dead, trend, trend + change - moved)
+            older = self.trend.copy()
+            self.trend = np.where(hard | dead, self.trend, self.trend + change - self.moved)
             with np.errstate(divide="ignore", invalid="ignore"):
-                done = ~hard & ~dead & (change / size < criterion**2)
-            calm = ~hard & ~dead & ~done & (trend < older) & (older < kind.numbness)
-            wild = ~hard & ~dead & ~done & (trend > older) & (older > kind.numbness)
+                done = ~hard & ~dead & (change / size < self.criterion**2)
+            calm = ~hard & ~dead & ~done & (self.trend < older) & (older < kind.numbness)
+            wild = ~hard & ~dead & ~done & (self.trend > older) & (older > kind.numbness)
             term.flags[wild] = np.where(term.flags[wild] != 0, 1, -1)
             term.flags[done | calm] = 0
-        moved = np.where(hard, moved, change)
-        term.x[term.flags == 1] = start_value
+        self.moved = np.where(hard, self.moved, change)
+        term.x[term.flags == 1] = self.start_value
         left = (term.flags != 1).sum()
         term.converged = float(done.sum() / left) if left else 0.0
-        if term.converged >= stop_fraction:
-            break
-        before = look(term.x)
-    term.flags[trend > max(1e-6, kind.numbness if kind.numbness > 1 else 0)] = 1
-    term.flags[term.flags == -1] = 0
-    if kind.referenced and not term.per_array:
-        term.x = kind.refer(term.x, reference)
-    term.x[term.flags == 1] = start_value
-    if propagate and not term.dependent:
+        if term.converged >= self.stop_fraction:
+            return True
+        self.before = self.look()
+        return False
+
+    def finish(self, reference: int = 0) -> None:
+        term, kind = self.term, self.term.kind
+        term.flags[self.trend > max(1e-6, kind.numbness if kind.numbness > 1 else 0)] = 1
+        term.flags[term.flags == -1] = 0
+        if kind.referenced and not term.per_array:
+            term.x = kind.refer(term.x, reference)
+        term.x[term.flags == 1] = self.start_value
+
+
+def flag_data(chunk: Chunk, term: TermState) -> None:
+    """Data of flagged gains, of terms that are alike in all directions."""
+    if not term.dependent:
         bad = (term.flags[term.at(chunk.ant1, 0)] == 1) | (term.flags[term.at(chunk.ant2, 0)] == 1)
         chunk.flag = np.where(bad, 1, chunk.flag).astype(np.int8)
 
 
-def estimate(chunk: Chunk, term: TermState, reference: int = 0) -> None:
-    """First guesses of delays and dispersions from the baselines to the reference antenna: the peak, over a grid
-    of delays and dispersions, of the data's coherent sum over frequency."""
-    kind = term.kind
-    names = getattr(kind, "names", ())
-    if not {"delay", "tec"} & set(names) or not term.estimate:
+def ends_of(freq: np.ndarray) -> tuple[float, float, float]:
+    return (float(freq.min()), float(freq.mean()), float(freq.max())) if len(freq) else (1.0, 1.0, 1.0)
+
+
+def solve_term(chunk: Chunk, chain: list[TermState], active: int, stop_fraction: float = 0.99, criterion: float = 1e-6, reference: int = 0, propagate: bool = True) -> None:
+    """Gauss-Newton iterations of one term with the others fixed."""
+    term = chain[active]
+    kind, shape = term.kind, term.shape(chunk)
+    run = Iteration(term, shape, ends_of(chunk.freq), stop_fraction, criterion)
+    if not kind.solvable or not term.iterations:
+        if kind.solvable:
+            term.jhj = normal_equations(chunk, chain, active)[0].reshape(*shape, kind.count(), kind.count())
         return
+    for _ in range(term.iterations):
+        if run.step(*normal_equations(chunk, chain, active)):
+            break
+    run.finish(reference)
+    if propagate:
+        flag_data(chunk, term)
+
+
+def estimated(kind: Kind, term: TermState) -> bool:
+    return bool({"delay", "tec"} & set(getattr(kind, "names", ()))) and term.estimate
+
+
+def coherent(chunk: Chunk, term: TermState, channels: np.ndarray, reference: int = 0) -> np.ndarray:
+    """Sums of data over the model on baselines to the reference antenna: (ends, t, f, ant, channel)."""
     fine = (chunk.flag == 0) & (chunk.ant1 != chunk.ant2) & ((chunk.ant1 == reference) | (chunk.ant2 == reference))
-    channels, chan = np.unique(chunk.freq, return_inverse=True)
+    chan, shape = np.searchsorted(channels, chunk.freq), term.shape(chunk)
+    with_model = chunk.data * np.conj(chunk.model.sum(1))
+    ends = term.kind.ends()
+    total = np.zeros((len(ends), *shape[:3], len(channels)), complex)
+    first = chunk.ant1[fine] == reference
+    at = (term.t[fine], term.f[fine], np.where(first, chunk.ant2[fine], chunk.ant1[fine]), chan[fine])
+    for e, corr in enumerate(ends):
+        value = with_model[fine, corr]
+        np.add.at(total[e], at, np.where(first, np.conj(value), value))
+    return total
+
+
+#: Dispersions times channels that are tried together, which bounds how many turns over the band are looked for; at least 8 are.
+TRIALS = 1 << 16
+
+
+def guess(term: TermState, channels: np.ndarray, total: np.ndarray) -> None:
+    """First guesses of delays and dispersions: the peak of the coherent sum over frequency, over dispersions and the delays of a
+    Fourier transform padded eightfold (a plain transform where channels aren't evenly spaced)."""
+    kind = term.kind
+    names = kind.names
     if len(channels) < 2:
         return
-    k, coefficients = len(names), kind.coefficients(channels)
-    by = dict(zip(names, coefficients, strict=True))
-    spacing = np.diff(channels).min() / kind.band.centre
-    reach = 0.5 / spacing
-    delays = np.linspace(-reach, reach, 8 * len(channels) + 1) if "delay" in by else np.zeros(1)
-    wrap = TWO_PI / (np.ptp(by["tec"]) or 1.0) if "tec" in by else 0.0
-    tecs = wrap * np.linspace(-8, 8, 161) if "tec" in by else np.zeros(1)
-    wave_d = np.exp(-1j * np.outer(delays, by.get("delay", np.zeros(len(channels)))))
+    k, by = len(names), dict(zip(names, kind.coefficients(channels), strict=True))
+    gaps = np.diff(channels)
+    spacing, n = gaps.min() / kind.band.centre, 8 * len(channels)
+    even = np.allclose(gaps, gaps[0], rtol=1e-6)
+    delays = np.fft.fftfreq(n) / spacing if "delay" in by else np.zeros(1)
+    tecs = np.zeros(1)
+    if "tec" in by:
+        turn = TWO_PI / (np.ptp(by["tec"]) or 1.0)
+        most = np.pi / (np.abs(np.diff(by["tec"])).max() or 1.0) / turn  # half a turn from one channel to the next
+        wraps = int(max(8, min(most, TRIALS / len(channels) / 20)))
+        tecs = turn * np.linspace(-wraps, wraps, 20 * wraps + 1)
     wave_t = np.exp(-1j * np.outer(tecs, by.get("tec", np.zeros(len(channels)))))
-    with_model = chunk.data * np.conj(chunk.model.sum(1))
-    shape = term.shape(chunk)
-    for e, corr in enumerate(kind.ends()):
-        total = np.zeros((shape[0], shape[1], shape[2], len(channels)), complex)
-        value = with_model[fine, corr]
-        first = chunk.ant1[fine] == reference
-        np.add.at(total, (term.t[fine], term.f[fine], np.where(first, chunk.ant2[fine], chunk.ant1[fine]), chan[fine]), np.where(first, np.conj(value), value))
-        for t, f, a in np.argwhere(np.abs(total).sum(-1) > 0):
-            peak = np.abs((total[t, f, a] * wave_t) @ wave_d.T)
+
+    def along(values: np.ndarray) -> np.ndarray:
+        if "delay" not in by:
+            return np.abs(values.sum(-1, keepdims=True))
+        if even:
+            return np.abs(np.fft.fft(values, n, axis=-1))
+        return np.concatenate([np.abs(values @ np.exp(-1j * np.outer(by["delay"], part))) for part in np.array_split(delays, 8)], axis=-1)
+
+    for e, t, f, a in np.argwhere(np.abs(total).sum(-1) > 0):
+        own, best = total[e, t, f, a], (-1.0, 0, 0)
+        for at in range(0, len(tecs), 256):
+            peak = along(own * wave_t[at : at + 256])
             i, j = np.unravel_index(peak.argmax(), peak.shape)
-            found = {"delay": delays[j], "tec": tecs[i]}
-            left = (total[t, f, a] * wave_t[i] * wave_d[j]).sum()
-            found["offset"] = float(np.angle(left))
-            for n, name in enumerate(names):
-                term.x[t, f, a, :, e * k + n] = found[name]
+            best = max(best, (float(peak[i, j]), int(at + i), int(j)))
+        _, i, j = best
+        found = {"delay": delays[j], "tec": tecs[i]}
+        left = (own * wave_t[i] * np.exp(-1j * delays[j] * by.get("delay", np.zeros(len(channels))))).sum()
+        found["offset"] = float(np.angle(left))
+        for m, name in enumerate(names):
+            term.x[t, f, a, :, e * k + m] = found[name]
     term.x[term.flags == 1] = kind.start((1,))[0]
 
 
+def estimate(chunk: Chunk, term: TermState, reference: int = 0) -> None:
+    if estimated(term.kind, term):
+        channels = np.unique(chunk.freq)
+        guess(term, channels, coherent(chunk, term, channels, reference))
+
+
 def robust(chunk: Chunk, chain: list[TermState], state: dict) -> None:
     """Student-t weights from the present residuals."""
     from ..operators.weights import START_DOF, degrees_of_freedom
