@@ -96,61 +96,100 @@ def _means(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(own, pairs[1], n) / np.maximum(count, 1)
 
 
-def _answer(plan: Plan, table: pa.Table, loaded: dict[str, np.ndarray] | None = None) -> pa.Table:
-    keys = {k: table.column(k)[0].as_py() for k in CHUNK}
+def chunk_of(plan: Plan, table: pa.Table) -> K.Chunk:
     get = lambda name: table.column(name).to_numpy()
-    freq, chan, time = get("freq"), get("chan"), get("time")
-    chunk = K.Chunk(
-        get("ant1").astype(int), get("ant2").astype(int), freq, _complex(table, "data", 1), _complex(table, "model", 2),
-        table.column("weight").combine_chunks().flatten().to_numpy().reshape(table.num_rows, plan.n_corr).copy(), get("flag").astype(np.int8), plan.n_ant,
-    )
-    band = K.Band(float(freq.min()), float(freq.max()))
+    weight = table.column("weight").combine_chunks().flatten().to_numpy().reshape(table.num_rows, plan.n_corr).copy()
+    return K.Chunk(get("ant1").astype(int), get("ant2").astype(int), get("freq"), _complex(table, "data", 1), _complex(table, "model", 2), weight, get("flag").astype(np.int8), plan.n_ant)
+
+
+def chain_of(plan: Plan, band: K.Band, bins: dict[str, tuple[np.ndarray, np.ndarray]]) -> list[K.TermState]:
+    """The terms with the intervals of every row, not solved yet."""
     chain = []
     for t in plan.terms:
         kind = K.KINDS[t.type](plan.n_corr, band)
         if isinstance(kind, K.ParallacticAngle):
             kind.circular = plan.circular
-        state = K.TermState(kind, get(f"{t.name}_t_bin").astype(int), get(f"{t.name}_pf_bin").astype(int), t.direction_dependent, per_array=t.solve_per == "array", scalar=t.scalar, estimate=t.initial_estimate, pinned=t.pinned_directions)
-        if loaded and t.name in loaded:
-            state.x = kind.loaded(loaded[t.name]) if t.type not in PLAIN else loaded[t.name]
-        chain.append(state)
-    s = plan.solver
-    chi = K.solve(chunk, chain, s.iter_recipe, s.robust, s.reference_antenna, stop_fraction=s.convergence_fraction, criterion=s.convergence_criteria, propagate=s.propagate_flags)
+        chain.append(K.TermState(kind, *bins[t.name], t.direction_dependent, per_array=t.solve_per == "array", scalar=t.scalar, estimate=t.initial_estimate, pinned=t.pinned_directions))
+    return chain
+
+
+@dataclass
+class Axes:
+    """Times and channels of a chunk by the intervals of its terms."""
+
+    channels: np.ndarray
+    freqs: np.ndarray
+    times: dict[str, tuple[np.ndarray, np.ndarray]]  # of a term, intervals and times
+    bands: dict[str, tuple[np.ndarray, np.ndarray]]  # of a term, the interval of each channel's place
+
+    @staticmethod
+    def of(plan: Plan, table: pa.Table) -> Axes:
+        get = lambda name: table.column(name).to_numpy()
+        channels, at = np.unique(get("chan"), return_inverse=True)
+        freqs = np.zeros(len(channels))
+        freqs[at] = get("freq")
+        times = {t.name: tuple(np.unique(np.stack([get(f"{t.name}_t_bin").astype(float), get("time")]), axis=1)) for t in plan.terms}
+        bands = {}
+        for t in plan.terms:
+            own = np.zeros(len(channels), int)
+            own[at] = get(f"{t.name}_pf_bin")
+            bands[t.name] = own
+        return Axes(channels, freqs, {n: (x[0].astype(int), x[1]) for n, x in times.items()}, bands)
+
+
+def told(plan: Plan, keys: dict, chain: list[K.TermState], axes: Axes, chi: dict) -> list[pa.Table]:
+    """The rows of a chunk's gains, parameters, convergence and chi-squared."""
     parts = [_rows(1, keys, kind="stats", pre=chi["pre"], post=chi["post"])]
-    channels, at_channel = np.unique(chan, return_inverse=True)
     for t, state in zip(plan.terms, chain, strict=True):
         named = keys | {"term": t.name, "type": t.type}
         parts.append(_rows(1, named, kind="conv", loops=state.loops, converged=state.converged))
         shape = state.flags.shape
-        times = _means(state.t, time, shape[0])
+        times = _means(*axes.times[t.name], shape[0])
+        bands = axes.bands[t.name]
         if t.type in FULL_RESOLUTION:
-            freqs = _means(at_channel, freq, len(channels))
-            first = np.full(len(channels), 0)
-            first[at_channel] = state.f
-            x, flags = state.x[:, first], state.flags[:, first]
+            freqs, x, flags = axes.freqs, state.x[:, bands], state.flags[:, bands]
         else:
-            freqs, x, flags = _means(state.f, freq, shape[1]), state.x, state.flags
+            freqs, x, flags = _means(bands, axes.freqs, shape[1]), state.x, state.flags
         grid = np.indices(flags.shape).reshape(4, -1)
         g = K.as_vector(state.kind.gains(x.reshape(flags.size, x.shape[-1]), freqs[grid[1]]), plan.n_corr)
         parts.append(_rows(len(g), named, kind="gain", t_bin=grid[0], f_bin=grid[1], ant=grid[2], dir=grid[3], gain_time=times[grid[0]], gain_freq=freqs[grid[1]], g=_cells(g), flag=flags.ravel()))
         if t.type not in PLAIN and state.kind.count():
             grid = np.indices(shape).reshape(4, -1)
             p = state.kind.stored(state.x).reshape(-1, state.kind.count())
-            freqs = _means(state.f, freq, shape[1])
+            freqs = _means(bands, axes.freqs, shape[1])
             parts.append(_rows(len(p), named, kind="param", t_bin=grid[0], f_bin=grid[1], ant=grid[2], dir=grid[3], gain_time=times[grid[0]], gain_freq=freqs[grid[1]], p=_lists(p), flag=state.flags.ravel()))
-    parts.append(_rows(table.num_rows, keys, kind="vis", row_id=get("row_id"), chan=chan, flag=chunk.flag, weight=_lists(chunk.weight)))
+    return parts
+
+
+def _bins(plan: Plan, table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    return {t.name: tuple(table.column(f"{t.name}_{c}").to_numpy().astype(int) for c in ("t_bin", "pf_bin")) for t in plan.terms}
+
+
+def _answer(plan: Plan, table: pa.Table, loaded: dict[str, np.ndarray] | None = None) -> pa.Table:
+    keys = {k: table.column(k)[0].as_py() for k in CHUNK}
+    chunk = chunk_of(plan, table)
+    chain = chain_of(plan, K.Band(float(chunk.freq.min()), float(chunk.freq.max())), _bins(plan, table))
+    for t, state in zip(plan.terms, chain, strict=True):
+        if loaded and t.name in loaded:
+            state.x = state.kind.loaded(loaded[t.name]) if t.type not in PLAIN else loaded[t.name]
+    s = plan.solver
+    chi = K.solve(chunk, chain, s.iter_recipe, s.robust, s.reference_antenna, stop_fraction=s.convergence_fraction, criterion=s.convergence_criteria, propagate=s.propagate_flags)
+    parts = told(plan, keys, chain, Axes.of(plan, table), chi)
+    parts.append(_rows(table.num_rows, keys, kind="vis", row_id=table.column("row_id").to_numpy(), chan=table.column("chan").to_numpy(), flag=chunk.flag, weight=_lists(chunk.weight)))
     return pa.concat_tables(parts)
 
 
+def columns_of(plan: Plan) -> list[str]:
+    return [*CHUNK, "row_id", "chan", "freq", "time", "ant1", "ant2", "data", "model", "weight", "flag", *[c for t in plan.terms for c in (f"{t.name}_t_bin", f"{t.name}_pf_bin")]]
+
+
 def solve(vis: DataFrame, plan: Plan, loaded: DataFrame | None = None) -> DataFrame:
     """The result table of all chunks. ``vis`` has the bins of every term (see :func:`plans.calibrate.bin_terms`).
 
     ``loaded`` gives starts: rows (keys, term, t_bin, f_bin, ant, dir, p) of parameters, or (…, g) of plain gains, on the bins of
     the terms.
     """
-    wanted = [*CHUNK, "row_id", "chan", "freq", "time", "ant1", "ant2", "data", "model", "weight", "flag"]
-    wanted += [c for t in plan.terms for c in (f"{t.name}_t_bin", f"{t.name}_pf_bin")]
-    vis = vis.select(*wanted)
+    vis = vis.select(*columns_of(plan))
     if loaded is None:
 
         def run(table: pa.Table) -> pa.Table:

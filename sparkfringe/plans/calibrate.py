@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import angles, apply, bda, binning, flagging, interpolation, model, preprocess, solver, stats
+from ..operators import angles, apply, bda, binning, flagging, interpolation, large, model, preprocess, solver, stats
 from ..sources import tables as sources
 from .config import Config, TermOptions, final_config, parse_recipe
 from .schemas import CHUNK, JONES, KEYS
@@ -127,7 +127,7 @@ def calibrate(
     vis, times, chans = chunked(vis, chans, ms.time_chunk, ms.freq_chunk)
     vis = bin_terms(vis, times, chans, config.chain()).persist(StorageLevel.MEMORY_AND_DISK)
     plan = solver.Plan(tuple(config.chain()), config.solver, n_corr, n_ant, circular)
-    result = solver.solve(vis, plan, load_terms(spark, vis, config, n_corr, turns)).persist(StorageLevel.MEMORY_AND_DISK)
+    result = large.solve_any(vis, plan, load_terms(spark, vis, config, n_corr, turns)).persist(StorageLevel.MEMORY_AND_DISK)
     held = [vis, result]
     found = solver.split(result)
     on = [*CHUNK, "row_id", "chan"]

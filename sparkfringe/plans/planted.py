@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.jones import Cx, Jones, polar, rotation
-from ..operators import preprocess, solver
+from ..operators import large, preprocess, solver
 from . import calibrate
 from .config import SolverOptions, TermOptions
 from .schemas import CHUNK, JONES
@@ -184,8 +184,9 @@ def _told(found: DataFrame, kind: str) -> DataFrame:
     return rows.select(*CELL, F.col("flag").cast("int").alias("gain_flag"), *told)
 
 
-def solved(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    """What the solver finds for every interval and antenna with data, and whether nothing is left of the data."""
+def solved(spark: SparkSession, sf_dir: str, kind: str, slice_rows: int = 0) -> DataFrame:
+    """What the solver finds for every interval and antenna with data, and whether nothing is left of the data; with ``slice_rows``,
+    by slices of chunks."""
     vis, term = _measured(spark, sf_dir, kind)
     plant = PLANTS[kind]
     options = SolverOptions(terms=("G",), iter_recipe=(plant.rounds,), convergence_fraction=1.0, convergence_criteria=1e-8)
@@ -195,7 +196,8 @@ def solved(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     if kind == "parallactic_angle":
         p = [_formula(f, {}) for f in plant.unknowns]
         loaded = seen.select(*CELL[:-1], "ant", F.lit("G").alias("term"), F.lit(0).alias("dir"), F.lit(None).cast(JONES).alias("g"), F.array(*p).alias("p"))
-    found = solver.solve(vis, solver.Plan((term,), options, plant.n_corr, N_ANT), loaded)
+    plan = solver.Plan((term,), options, plant.n_corr, N_ANT)
+    found = large.solve(vis, plan, slice_rows) if slice_rows else solver.solve(vis, plan, loaded)
     left = found.where("kind = 'stats'").select(*CHUNK, (F.col("post") < 1e-7).alias("exact"))
     told = _told(found, kind).join(left, [*CHUNK])
     if kind == "parallactic_angle":
@@ -219,13 +221,13 @@ def truth(kind: str) -> str:
     SELECT {keys}, 0 AS gain_flag, {values}, true AS exact FROM cells"""
 
 
-def query(kind: str):
+def query(kind: str, slice_rows: int = 0):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return solved(spark, sf_dir, kind)
+        return solved(spark, sf_dir, kind, slice_rows)
 
-    run.__doc__ = f"Gains of type {kind}, found again from data that they corrupted."
+    run.__doc__ = f"Gains of type {kind}, found again from data that they corrupted{', by slices' if slice_rows else ''}."
     return run
 
 
-QUERIES = {f"solve_{kind}": query(kind) for kind in PLANTS}
-ORACLE_SQL = {f"solve_{kind}": truth(kind) for kind in PLANTS}
+QUERIES = {f"solve_{kind}": query(kind) for kind in PLANTS} | {"sliced_delay_and_offset": query("delay_and_offset", 5000)}
+ORACLE_SQL = {f"solve_{kind}": truth(kind) for kind in PLANTS} | {"sliced_delay_and_offset": truth("delay_and_offset")}
