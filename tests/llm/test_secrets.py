@@ -45,3 +45,36 @@ def test_rows(spark):
     assert (by[2].spans, by[3].spans, by[4].spans, by[None].n_assign) == ("", "", "", 1)
     assert by[5].spans == "assign:300001:300016"
     assert secrets.scan(docs.limit(0)).count() == 0
+
+
+# The contract's own patterns, and the least length of what counts.
+CONTRACT = (
+    ("assign", re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 8),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16),
+    ("hex", re.compile(r"[0-9a-f]+"), 0, 32),
+)
+
+
+def by_contract(text: str) -> list[tuple[int, int, int]]:
+    spans = [(m.start(), k, m.end()) for k, (_, rule, group, least) in enumerate(CONTRACT) for m in rule.finditer(text) if len(m.group(group)) >= least]
+    return sorted(spans)
+
+
+def test_digests_are_those_of_the_contract(spark):
+    import hashlib
+    import os
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice([*PIECES, "Secret=", "tOkEn: '", "apikey", "f" * 31, "f" * 32, "AKIA" + "Z" * 11, "漢", "é", "=:"]) for _ in range(rng.randint(0, 20))).replace("ſ", "s") for _ in range(3000)]
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if os.path.exists(path):
+        texts += [r.text or "" for r in spark.read.parquet(path).select("text").collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.digests(secrets.scan(docs)).collect()}
+    assert len(got) == len(texts)
+    for k, text in enumerate(texts):
+        want = by_contract(text)
+        named = [f"{CONTRACT[kind][0]}:{a}:{b}" for a, kind, b in want]
+        assert [got[k].n_assign, got[k].n_access, got[k].n_hex] == [sum(kind == j for _, kind, _ in want) for j in range(3)], text
+        assert got[k].base_sha256 == hashlib.sha256(",".join(named).encode()).hexdigest(), text
+        assert set(named) <= set(got[k].spans.split(","))
