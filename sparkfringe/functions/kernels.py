@@ -26,7 +26,9 @@ def as_vector(x: np.ndarray, n_corr: int) -> np.ndarray:
 
 
 def mul(a: np.ndarray, b: np.ndarray, full: bool) -> np.ndarray:
-    return a @ b if full else a * b
+    if not full:
+        return a * b
+    return a[..., :, :1] * b[..., :1, :] + a[..., :, 1:] * b[..., 1:, :]  # a loop over so small matrices is slower
 
 
 def herm(a: np.ndarray, full: bool) -> np.ndarray:
@@ -530,18 +532,22 @@ def normal_equations(chunk: Chunk, chain: list[TermState], active: int) -> tuple
             slopes, weights, rest = {0: own}, w, r
         for key, own in slopes.items():
             at = np.ravel_multi_index((term.t, term.f, one, np.full(len(one), key)), shape)
-            for a in range(k):
-                _add(jhr, (a,), at, (weights * np.conj(own[a]) * rest).sum(1))
-                for b in range(k):
-                    _add(jhj, (a, b), at, (weights * np.conj(own[a]) * own[b]).sum(1))
+            j = np.stack(own, 1)  # (rows, unknowns, correlations)
+            weighted = np.conj(j) * weights[:, None, :]
+            _add(at, (jhr, (weighted @ rest[:, :, None])[..., 0]), (jhj, weighted @ np.swapaxes(j, 1, 2)))
     return jhj, jhr
 
 
-def _add(total: np.ndarray, place: tuple[int, ...], at: np.ndarray, values: np.ndarray) -> None:
-    to = total[(slice(None), *place)]
-    to += np.bincount(at, values.real, len(total))
-    if np.iscomplexobj(total):
-        to += 1j * np.bincount(at, values.imag, len(total))
+def _add(at: np.ndarray, *sums: tuple[np.ndarray, np.ndarray]) -> None:
+    """Adds rows of values to the cells ``at`` of totals."""
+    if not len(at):
+        return
+    order = np.argsort(at, kind="stable")
+    cells = at[order]
+    first = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]]))
+    for total, values in sums:
+        values = values if np.iscomplexobj(total) else values.real
+        total[cells[first]] += np.add.reduceat(values[order], first, axis=0)
 
 
 def _null_v(chunk, chain, active, good, jhj, jhr):

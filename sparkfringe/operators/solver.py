@@ -22,6 +22,8 @@ from ..plans.schemas import CHUNK, CPLX
 #: Types whose gains change with every channel; their parameters have the coarser frequency bins.
 FULL_RESOLUTION = ("delay", "delay_and_offset", "delay_and_tec", "delay_tec_and_offset", "tec_and_offset", "rotation_measure", "parallactic_angle")
 PLAIN = ("complex", "diag_complex", "leakage")
+#: Tasks of solving per core.
+PER_CORE = 4
 
 RESULT = f"""kind string, scan int, field int, ddid int, t_chunk int, f_chunk int, term string, type string,
 t_bin int, f_bin int, gain_time double, gain_freq double, ant int, dir int, g array<{CPLX}>, p array<double>, flag byte,
@@ -191,6 +193,8 @@ def solve(vis: DataFrame, plan: Plan, loaded: DataFrame | None = None) -> DataFr
     """
     vis = vis.select(*columns_of(plan))
     if loaded is None:
+        # A chunk's work is far above what its bytes say, so that small partitions must not be joined into few tasks.
+        vis = vis.repartition(PER_CORE * vis.sparkSession.sparkContext.defaultParallelism, *CHUNK)
 
         def run(table: pa.Table) -> pa.Table:
             return _answer(plan, table)

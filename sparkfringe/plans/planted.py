@@ -60,7 +60,7 @@ _DIAGONAL = ("1 + 0.02 * ant + 0.01 * t_bin", "0.05 * ant", "0.9 + 0.01 * ant",
 _WIDE = {"step": 1e8, "whole_band": True}
 
 PLANTS: dict[str, Plant] = {
-    "complex": Plant(_COMPLEX, 4, rounds=150),
+    "complex": Plant(_COMPLEX, 4, rounds=120),
     "diag_complex": Plant(_DIAGONAL),
     "amplitude": Plant(("1 + 0.05 * ant + 0.01 * t_bin", "0.9 + 0.02 * ant + 0.01 * f_bin")),
     "phase": Plant(("0.1 * ant + 0.02 * ant * t_bin", "-0.15 * ant")),
