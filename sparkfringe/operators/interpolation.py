@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.temporary import folder
+
 
 def fill(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """``y`` along axis 0 at ``x``, NaN filled where a line has any value."""
@@ -153,21 +155,40 @@ def interpolate(values: DataFrame, targets: DataFrame, method: str = "2dlinear")
 
 def linear_lookup(known: DataFrame, wanted: DataFrame, keys: list[str], x: str = "x", y: str = "y") -> DataFrame:
     """1-D interpolation without Python: both tables in one order, the known values before and after each
-    wanted place by ignoring nulls. Nearest beyond the ends."""
+    wanted place by ignoring nulls. Nearest beyond the ends.
+
+    The order of all rows is cut into ranges, so that a long series has many tasks; the ranges are written, as cuts made anew may fall
+    elsewhere. What a range knows is carried to the other ranges of its series.
+    """
+    spark = known.sparkSession
     rows = known.select(*keys, x, F.col(y).cast("double").alias(y), F.lit(False).alias("_w")).unionByName(
         wanted.select(*keys, x, F.lit(None).cast("double").alias(y), F.lit(True).alias("_w"))
     )
+    rows, to = rows.repartitionByRange(*keys, x).withColumn("_range", F.spark_partition_id()), f"{folder(spark)}/ranges"
+    rows.write.parquet(to)
+    rows = spark.read.schema(rows.schema).parquet(to)
     point = F.when(F.col(y).isNotNull(), F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
-    order = Window.partitionBy(*keys).orderBy(F.col(x), F.col("_w"))
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = rows.withColumns({
-        "_a": F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        "_b": F.first(point, ignorenulls=True).over(after),
-    }).where("_w")
-    a, b = F.col("_a"), F.col("_b")
+
+    # Both frames grow row by row; one from the current row to the end would be gone through anew for every row.
+    own, order = Window.partitionBy(*keys, "_range"), (x, "_w", y)
+    up, down = own.orderBy(*order), own.orderBy(*[F.col(c).desc() for c in order])
+    whole = (Window.unboundedPreceding, Window.currentRow)
+    near = rows.withColumns({name: F.last(point, ignorenulls=True).over(w.rowsBetween(*whole)) for name, w in (("_a", up), ("_b", down))}).where("_w")
+
+    ends = rows.groupBy(*keys, "_range").agg(F.min(point).alias("_first"), F.max(point).alias("_last"))
+    ranges, others = Window.partitionBy(*keys), (Window.unboundedPreceding, -1)
+    carried = ends.select(
+        *[F.col(k).alias(f"_of_{k}") for k in (*keys, "_range")],
+        F.max("_last").over(ranges.orderBy("_range").rowsBetween(*others)).alias("_before"),
+        F.min("_first").over(ranges.orderBy(F.col("_range").desc()).rowsBetween(*others)).alias("_beyond"),
+    ).where("_before IS NOT NULL OR _beyond IS NOT NULL")
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in (*keys, "_range")]
+    near = near.join(F.broadcast(carried), same, "left")  # a range shares at most two series with others
+
+    a, b = F.coalesce("_a", "_before"), F.coalesce("_b", "_beyond")
     slope = (b["y"] - a["y"]) / (b["x"] - a["x"])
     value = F.when(a.isNull(), b["y"]).when(b.isNull() | (b["x"] == a["x"]), a["y"]).otherwise(a["y"] + slope * (F.col(x) - a["x"]))
-    return rows.select(*keys, x, value.alias(y))
+    return near.select(*keys, x, value.alias(y))
 
 
 def smooth(rows: DataFrame, keys: list[str], order: str, value: str, good: str, sigma: float = 1.0) -> DataFrame:

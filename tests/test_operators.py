@@ -172,6 +172,31 @@ def test_identity_gains_stay_identity(spark, method):
         interpolation.check_overlap(gains.union(gains))
 
 
+def test_lookup_in_series_of_many_ranges(spark):
+    """Series over many ranges, of which some know nothing, a short one, one of the key null, and one of unknown places alone."""
+    rng = np.random.default_rng(5)
+    series = {1: (np.arange(0, 30_000, 3_000), np.arange(-500, 33_000)), 2: (rng.choice(9_000, 900, False), np.arange(0, 9_000, 2)), None: (np.array([4.0]), np.arange(9)), 4: (np.array([]), np.arange(3))}
+    table = lambda rows: spark.createDataFrame(rows, "k int, x double, y double")
+    known = [(k, float(x), math.sin(x)) for k, (own, _) in series.items() for x in own]
+    wanted = [(k, float(x), None) for k, (_, to) in series.items() for x in to]
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = interpolation.linear_lookup(table(known), table(wanted).drop("y"), ["k"])
+        plan, rows = found._jdf.queryExecution().toString().lower(), found.collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert "unboundedfollowing" not in plan  # such a frame costs the square of a series' length
+    assert len(rows) == len(wanted)
+    for k, (own, to) in series.items():
+        got = sorted((r["x"], r["y"]) for r in rows if r["k"] == k)
+        own = np.sort(own)
+        assert [x for x, _ in got] == sorted(map(float, to))
+        assert all(y is None for _, y in got) if not len(own) else np.allclose([y for _, y in got], np.interp(np.sort(to), own, np.sin(own)))
+
+
 def test_smoothing_follows_a_direct_sum(spark):
     rng = np.random.default_rng(3)
     x, good = rng.normal(size=30), rng.random(30) > 0.2
