@@ -8,6 +8,7 @@ either antenna, normal equations per interval, antenna and direction, solves and
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -69,6 +70,7 @@ class Kind:
     referenced = False
     solvable = True
     numbness = 1e9
+    bilinear = False  # gains are the unknowns themselves, so that intervals can be solved for all antennas together
     corrs: tuple[int, ...] = (1, 2, 4)
 
     def __init__(self, n_corr: int, band: Band):
@@ -111,6 +113,7 @@ class Kind:
 class Complex(Kind):
     real = False
     numbness = 1e-6
+    bilinear = True
 
     def elements(self) -> list[int]:
         return list(range(self.n_corr))
@@ -272,6 +275,7 @@ class Amplitude(_Diagonal):
     referenced = False
     names = ("amplitude",)
     numbness = 1e-6
+    bilinear = True
 
     def start(self, shape):
         return np.ones((*shape, self.count()))
@@ -538,6 +542,128 @@ def normal_equations(chunk: Chunk, chain: list[TermState], active: int) -> tuple
     return jhj, jhr
 
 
+#: Bytes of the coefficients between antennas beyond which each antenna is solved for by itself.
+TOGETHER = 1 << 24
+
+
+class Together:
+    """The normal equations of a single term that is alike in all directions, with the coefficients between the antennas of an interval.
+
+    A residual r = D - P X Q^H, with X the summed model, has the derivatives Y = X Q^H by the unknowns of P and
+    Z = P X by the conjugate ones of Q. Rows are the last axis, in the order of intervals and baselines, whose sums are all that's needed.
+    """
+
+    def __init__(self, chunk: Chunk, term: TermState):
+        self.term, n_corr, full = term, chunk.n_corr, chunk.n_corr == 4
+        self.kind, self.shape = self.term.kind, self.term.shape(chunk)
+        good = np.flatnonzero(chunk.flag == 0)
+        t, f, p, q = self.term.t[good], self.term.f[good], chunk.ant1[good], chunk.ant2[good]
+        baseline = np.ravel_multi_index((t, f, p, q), (*self.shape[:3], self.shape[2]))
+        order = np.argsort(baseline, kind="stable")
+        rows, baseline = good[order], baseline[order]
+        self.first = np.flatnonzero(np.concatenate([[True], baseline[1:] != baseline[:-1]])) if len(rows) else np.empty(0, int)
+        cell, self.one, self.other = np.unravel_index(baseline[self.first], (self.shape[0] * self.shape[1], self.shape[2], self.shape[2]))
+        self.cell, self.rows_p, self.rows_q = cell, baseline // self.shape[2], baseline // self.shape[2] ** 2 * self.shape[2] + q[order]
+        ends = [0, 3] if full and not (self.kind.residual == "plain" and not self.kind.referenced) else list(range(n_corr))
+        self.matrix = len(ends) == 4
+        self.x, self.d, self.w = (np.ascontiguousarray(x[:, ends].T) for x in (chunk.model[rows].sum(1), chunk.data[rows], chunk.weight[rows]))
+        if self.matrix:
+            self.x, self.d, self.w = (x.reshape(2, 2, -1) for x in (self.x, self.d, self.w))
+            self.fixed = np.eye(2, dtype=complex).ravel() if isinstance(self.kind, Leakage) else np.zeros(4, complex)
+
+    def __call__(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """jhj and jhr as of :func:`normal_equations`, and the sums (t and f, ant, unknown, ant, unknown) that multiply the conjugate
+        unknowns of the other antenna."""
+        k, (_, _, n_ant, _) = self.kind.count(), self.shape
+        cells, dtype = self.shape[0] * self.shape[1], float if self.kind.real else complex
+        jhj, jhr = np.zeros((cells, n_ant, k, k), dtype), np.zeros((cells, n_ant, k), dtype)
+        cross = np.zeros((cells, n_ant, k, n_ant, k), dtype)
+        if len(self.first):
+            g = self.term.x.reshape(cells * n_ant, k).T
+            sums = self._of_matrices(g) if self.matrix else self._of_ends(g)
+            left_r, right_r, left_j, right_j, both = (x if np.iscomplexobj(cross) else x.real for x in sums)
+            at, to = (self.cell, self.one), (self.cell, self.other)
+            for where, r, j in ((at, left_r, left_j), (to, right_r, right_j)):
+                np.add.at(jhr, where, r)
+                np.add.at(jhj, where, j)
+            cross[self.cell, self.one, :, self.other] += both  # a baseline has one entry
+            cross[self.cell, self.other, :, self.one] += np.swapaxes(both, 1, 2)
+        return jhj.reshape(-1, k, k), jhr.reshape(-1, k), cross
+
+    def _summed(self, values: np.ndarray) -> np.ndarray:
+        return np.moveaxis(np.add.reduceat(values, self.first, axis=-1), -1, 0)
+
+    def _of_ends(self, g: np.ndarray) -> tuple[np.ndarray, ...]:
+        p, q = g[:, self.rows_p], g[:, self.rows_q]
+        y, z = self.x * np.conj(q), p * self.x
+        v = p * y
+        r = self.d - v
+        if self.kind.residual == "amplitude":
+            size = np.abs(v)
+            r = v * np.divide(np.abs(self.d), size, out=np.zeros_like(size), where=size > 0) - v
+        wy, wz = self.w * np.conj(y), self.w * z
+        diagonal = lambda x: self._summed(x)[:, :, None] * np.eye(len(g))
+        return self._summed(wy * r), self._summed(wz * np.conj(r)), diagonal(wy * y), diagonal(wz * np.conj(z)), diagonal(wy * z)
+
+    def _of_matrices(self, g: np.ndarray) -> tuple[np.ndarray, ...]:
+        known, k = self.kind.elements(), self.kind.count()
+        whole = np.repeat(self.fixed[:, None], g.shape[1], 1)
+        whole[known] = g
+        p, q = (whole[:, rows].reshape(2, 2, -1) for rows in (self.rows_p, self.rows_q))
+        x, q = self.x, np.conj(q)
+        y = x[:, None, 0] * q[None, :, 0] + x[:, None, 1] * q[None, :, 1]  # (b, j)
+        z = p[:, 0, None] * x[None, 0] + p[:, 1, None] * x[None, 1]  # (i, c)
+        r = self.d - (p[:, 0, None] * y[None, 0] + p[:, 1, None] * y[None, 1])  # (i, j)
+        n = len(self.first)
+        left_r, right_r = (np.zeros((n, k), complex) for _ in range(2))
+        left_j, right_j, both = (np.zeros((n, k, k), complex) for _ in range(3))
+        own = [divmod(e, 2) for e in known]
+        wr = self.w * r
+        wy = self.w[:, None] * np.conj(y)[None]  # (i, b, j)
+        wz = np.swapaxes(self.w, 0, 1)[:, None] * np.swapaxes(z, 0, 1)[None]  # (j, c, i)
+        for a, (i, b) in enumerate(own):
+            left_r[:, a] = self._summed(np.conj(y[b, 0]) * wr[i, 0] + np.conj(y[b, 1]) * wr[i, 1])
+            right_r[:, a] = self._summed(z[0, b] * np.conj(wr[0, i]) + z[1, b] * np.conj(wr[1, i]))
+            for c, (j, d) in enumerate(own):
+                if i == j and c >= a:
+                    left_j[:, a, c] = self._summed(wy[i, b, 0] * y[d, 0] + wy[i, b, 1] * y[d, 1])
+                    right_j[:, a, c] = self._summed(wz[i, b, 0] * np.conj(z[0, d]) + wz[i, b, 1] * np.conj(z[1, d]))
+                    left_j[:, c, a], right_j[:, c, a] = np.conj(left_j[:, a, c]), np.conj(right_j[:, a, c])
+                both[:, a, c] = self._summed(wy[i, b, j] * z[i, d])
+        return left_r, right_r, left_j, right_j, both
+
+
+def equations(chunk: Chunk, chain: list[TermState], active: int) -> Callable[[], tuple[np.ndarray, ...]]:
+    """What tells the normal equations of the active term at its present unknowns: with the coefficients between antennas for a term
+    that is the whole chain. Terms of longer chains take turns, and an exact solution of one is out of date after the next turn."""
+    term, shape = chain[active], chain[active].shape(chunk)
+    alone = len(chain) > 1 or not term.kind.bilinear or term.dependent or term.per_array or term.scalar
+    if alone or shape[0] * shape[1] * (shape[2] * term.kind.count()) ** 2 * 16 > TOGETHER:
+        return lambda: normal_equations(chunk, chain, active)
+    return Together(chunk, term)
+
+
+def _solved_together(jhj: np.ndarray, jhr: np.ndarray, cross: np.ndarray, moving: np.ndarray) -> np.ndarray:
+    """Updates (cells, ant, unknown) of all antennas at once, H u + C conj(u) = r; those that don't move are held."""
+    cells, n_ant, k = jhr.shape
+    n = n_ant * k
+    held = np.repeat(~moving, k, 1)
+    h = np.zeros((cells, n_ant, k, n_ant, k), jhj.dtype)
+    ants = np.arange(n_ant)
+    h[:, ants, :, ants] = np.swapaxes(jhj, 0, 1)
+    h, c, r = h.reshape(cells, n, n), cross.reshape(cells, n, n), jhr.reshape(cells, n)
+    if np.iscomplexobj(h):
+        m = np.block([[h.real + c.real, c.imag - h.imag], [h.imag + c.imag, h.real - c.real]])
+        r, held = np.concatenate([r.real, r.imag], 1), np.concatenate([held, held], 1)
+    else:
+        m = h + c
+    m = np.where(held[:, :, None] | held[:, None, :], 0.0, m)
+    size = np.trace(m, axis1=1, axis2=2) / np.maximum(1, (~held).sum(1))
+    m[:, np.arange(m.shape[1]), np.arange(m.shape[1])] += np.where(held, 1.0, 1e-10 * size[:, None] + (size <= 1e-12)[:, None])
+    u = np.linalg.solve(m, np.where(held, 0.0, r)[..., None])[..., 0]
+    return (u[:, :n] + 1j * u[:, n:] if np.iscomplexobj(h) else u).reshape(cells, n_ant, k)
+
+
 def _add(at: np.ndarray, *sums: tuple[np.ndarray, np.ndarray]) -> None:
     """Adds rows of values to the cells ``at`` of totals."""
     if not len(at):
@@ -608,6 +734,10 @@ def _spread(jhj: np.ndarray, groups: list[list[int]]) -> np.ndarray:
     return out
 
 
+#: The square of an update beside that of the gains up to which it may be one of all antennas together.
+NEAR = 0.1
+
+
 class Iteration:
     """Gauss-Newton iterations of one term: what they need to know besides the sums over the data."""
 
@@ -616,6 +746,7 @@ class Iteration:
         self.start_value = term.kind.start((1,))[0]
         self.before = self.look()
         self.moved, self.trend = np.zeros(shape), np.zeros(shape)
+        self.reach, self.fresh = np.full(shape[:2], NEAR), np.zeros(shape[:2], bool)
         term.loops, term.converged = 0, 0.0
 
     def look(self) -> np.ndarray:
@@ -623,14 +754,31 @@ class Iteration:
         x = self.term.x
         return np.stack([self.term.kind.gains(x, np.full(x.shape[:-1], f)) for f in self.freqs], -1)
 
-    def step(self, jhj: np.ndarray, jhr: np.ndarray) -> bool:
+    def _near(self, update: np.ndarray, jhj: np.ndarray, jhr: np.ndarray, cross: np.ndarray) -> np.ndarray:
+        """The update of all antennas of an interval together, where it is small beside the gains and smaller than the one before.
+        Elsewhere the damped one of single antennas, which finds the way from afar, and for good once the other has grown."""
+        t, f, n_ant, _ = self.shape
+        k, x = jhr.shape[-1], self.term.x.reshape(t * f, n_ant, -1)
+        moving = (self.term.flags != 1).reshape(t * f, n_ant) & (np.trace(jhj, axis1=1, axis2=2).real.reshape(t * f, n_ant) > 1e-12)
+        whole = _solved_together(jhj.reshape(t * f, n_ant, k, k), jhr.reshape(t * f, n_ant, k), cross, moving)
+        size = np.maximum((np.abs(x) ** 2).sum((1, 2)), moving.sum(1))
+        part = ((np.abs(whole) ** 2).sum((1, 2)) / np.maximum(size, 1)).reshape(t, f)
+        grown = (self.reach < NEAR) & (part > np.maximum(self.reach, 1e-20))
+        take = (self.reach > 0) & (part < NEAR) & ~grown
+        self.fresh = take & (self.reach == NEAR)
+        self.reach = np.where(grown, 0.0, np.where(take, part, self.reach))
+        return np.where(take[..., None, None, None], whole.reshape(update.shape), update)
+
+    def step(self, jhj: np.ndarray, jhr: np.ndarray, cross: np.ndarray | None = None) -> bool:
         """Moves the unknowns by the normal equations; tells whether enough of them have come to rest."""
         term, kind, shape, loop = self.term, self.term.kind, self.shape, self.term.loops
         jhj, jhr = _collapse(term, shape, jhj, jhr)
-        update = _solved(jhj, jhr).reshape(term.x.shape)
+        update = kind.step(loop, term.dependent) * _solved(jhj, jhr).reshape(term.x.shape)
         if term.dependent:
             update[:, :, :, list(term.pinned)] = 0
-        term.x = np.where((term.flags == 1)[..., None], term.x, term.x + kind.step(loop, term.dependent) * update)
+        if cross is not None and loop:  # the first step is always the damped one
+            update = self._near(update, jhj, jhr, cross)
+        term.x = np.where((term.flags == 1)[..., None], term.x, term.x + update)
         term.jhj, term.loops = jhj.reshape(*shape, kind.count(), kind.count()), loop + 1
         now = self.look()
         axes = tuple(range(4, now.ndim))
@@ -641,7 +789,7 @@ class Iteration:
         done = np.zeros(shape, bool)
         if loop >= 2:
             older = self.trend.copy()
-            self.trend = np.where(hard | dead, self.trend, self.trend + change - self.moved)
+            self.trend = np.where(hard | dead | self.fresh[..., None, None], self.trend, self.trend + change - self.moved)
             with np.errstate(divide="ignore", invalid="ignore"):
                 done = ~hard & ~dead & (change / size < self.criterion**2)
             calm = ~hard & ~dead & ~done & (self.trend < older) & (older < kind.numbness)
@@ -686,8 +834,9 @@ def solve_term(chunk: Chunk, chain: list[TermState], active: int, stop_fraction:
         if kind.solvable:
             term.jhj = normal_equations(chunk, chain, active)[0].reshape(*shape, kind.count(), kind.count())
         return
+    sums = equations(chunk, chain, active)
     for _ in range(term.iterations):
-        if run.step(*normal_equations(chunk, chain, active)):
+        if run.step(*sums()):
             break
     run.finish(reference)
     if propagate:

@@ -188,11 +188,11 @@ def solve(vis: DataFrame, plan: Plan, rows: int = SLICE) -> DataFrame:
         def begin(head: Head, k: int = k) -> None:
             head.run = K.Iteration(head.chain[k], head.chain[k].whole, head.freqs, s.convergence_fraction, s.convergence_criteria)
 
-        def equations(own: _Slice, head: Head, k: int = k) -> tuple[np.ndarray, np.ndarray]:
-            return K.normal_equations(own.chunk, own.chain, k)
+        def equations(own: _Slice, head: Head, k: int = k) -> tuple[np.ndarray, ...]:
+            return K.equations(own.chunk, own.chain, k)()
 
         def move(head: Head, found: list) -> None:
-            head.resting = head.run.step(sum(x[0] for x in found), sum(x[1] for x in found))
+            head.resting = head.run.step(*(sum(x) for x in zip(*found, strict=True)))
 
         def finish(head: Head, k: int = k) -> None:
             head.run.finish(s.reference_antenna)
