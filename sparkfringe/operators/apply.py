@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.jones import Cx, Jones, corrected_weights
@@ -53,6 +53,12 @@ def attach_gains(vis: DataFrame, gains: DataFrame, terms: Sequence[Term], keys:
 HUGE_METHOD = 8000
 
 
+def small_methods(spark: SparkSession) -> None:
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(name)) > HUGE_METHOD:
+        spark.conf.set(name, HUGE_METHOD)
+
+
 class Steps:
     """Products in steps: each becomes a column of its own, so that expressions stay as long as one product.
 
@@ -62,9 +68,7 @@ class Steps:
 
     def __init__(self, rows: DataFrame):
         self.rows, self.names = rows, []
-        conf, name = rows.sparkSession.conf, "spark.sql.codegen.hugeMethodLimit"
-        if int(conf.get(name)) > HUGE_METHOD:
-            conf.set(name, HUGE_METHOD)
+        small_methods(rows.sparkSession)
 
     def put(self, value: Jones) -> Jones:
         name = f"_step{len(self.names)}"

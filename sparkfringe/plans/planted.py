@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.jones import Cx, Jones, polar, rotation
-from ..operators import large, preprocess, solver
+from ..operators import apply, large, preprocess, solver
 from . import calibrate
 from .config import SolverOptions, TermOptions
 from .schemas import CHUNK, JONES
@@ -118,6 +118,7 @@ def _gain(kind: str, p: list[Column], freq: Column, low: float, high: float) ->
 def _measured(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, TermOptions]:
     """Corrupted visibilities with chunks and the bins of the term G."""
     plant, c = PLANTS[kind], F.col
+    apply.small_methods(spark)
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     a, b = (c("l_partkey") % N_ANT).cast("int"), (c("l_suppkey") % N_ANT).cast("int")
     utime, chan = F.floor(c("l_orderkey") / 50).cast("int"), (c("l_linenumber") - 1).cast("int")
@@ -160,7 +161,10 @@ def _wrapped(x: Column) -> Column:
 
 
 def _told(found: DataFrame, kind: str) -> DataFrame:
-    """Rows of the cells with the unknowns in the units they are told in, rounded."""
+    """Rows of the cells with the unknowns in the units they are told in, rounded, and whether nothing is left of the chunk's data.
+    The chunk's chi-squared comes by a window, since a second look at ``found`` would solve all chunks again."""
+    left = F.max(F.when(F.col("kind") == "stats", F.col("post"))).over(Window.partitionBy(*CHUNK))
+    found = found.where("kind IN ('gain', 'param', 'stats')").withColumn("post", left)
     plant = PLANTS[kind]
     if kind in solver.PLAIN or kind == "feed_flip":
         rows = found.where("kind = 'gain'")
@@ -181,7 +185,7 @@ def _told(found: DataFrame, kind: str) -> DataFrame:
         values = [F.col("p")[k] / u for k, u in enumerate(units)]
         values = [_wrapped(x) if k in plant.wrapped else x for k, x in enumerate(values)]
     told = [(F.round(x + 3.7e-6, plant.digits) + 0.0).alias(f"v{k}") for k, x in enumerate(values)]
-    return rows.select(*CELL, F.col("flag").cast("int").alias("gain_flag"), *told)
+    return rows.select(*CELL, F.col("flag").cast("int").alias("gain_flag"), *told, (F.col("post") < 1e-7).alias("exact"))
 
 
 def solved(spark: SparkSession, sf_dir: str, kind: str, slice_rows: int = 0) -> DataFrame:
@@ -198,8 +202,7 @@ def solved(spark: SparkSession, sf_dir: str, kind: str, slice_rows: int = 0) ->
         loaded = seen.select(*CELL[:-1], "ant", F.lit("G").alias("term"), F.lit(0).alias("dir"), F.lit(None).cast(JONES).alias("g"), F.array(*p).alias("p"))
     plan = solver.Plan((term,), options, plant.n_corr, N_ANT)
     found = large.solve(vis, plan, slice_rows) if slice_rows else solver.solve(vis, plan, loaded)
-    left = found.where("kind = 'stats'").select(*CHUNK, (F.col("post") < 1e-7).alias("exact"))
-    told = _told(found, kind).join(left, [*CHUNK])
+    told = _told(found, kind)
     if kind == "parallactic_angle":
         seen = seen.select(*CELL).distinct()
     return told.join(seen, list(CELL), "left_semi")

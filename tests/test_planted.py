@@ -57,3 +57,19 @@ def test_equations_of_all_antennas_agree_with_those_of_one(kind, n_corr):
     assert all(np.allclose(a, b) for a, b in zip(own, together[:2], strict=True))
     cross = together[2].reshape(7 * term.kind.count(), -1)
     assert np.allclose(cross, cross.T)
+
+
+@pytest.mark.parametrize("kind", ["complex", "leakage"])
+def test_few_iterations_do(kind):
+    """Antennas solved for one by one need some 70 iterations here."""
+    chunk, term, true = corrupted(kind, 4)
+    left = K.solve(chunk, [term], (planted.PLANTS[kind].rounds,), stop_fraction=1.0, criterion=1e-8)
+    assert term.loops <= 12 and term.converged == 1 and left["post"] < 1e-12
+
+
+def test_a_query_solves_its_chunks_once(spark, tmp_path):
+    names = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_tax double"
+    spark.createDataFrame([(k, k, 3 * k + 1, k % 7 + 1, 1.0, 0.0) for k in range(90)], names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = planted.solved(spark, str(tmp_path), "diag_complex")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
