@@ -438,9 +438,9 @@ class TermState:
         return self.kind.gains(self.x[self.at(ant, direction)], chunk.freq)
 
 
-def covered(chunk: Chunk, term: TermState) -> np.ndarray:
-    """Intervals and antennas with data that aren't hard flagged."""
-    good, fine = np.zeros(term.shape(chunk)[:3], bool), chunk.flag != 1
+def covered(chunk: Chunk, term: TermState, flagged: bool = False) -> np.ndarray:
+    """Intervals and antennas with data that aren't hard flagged, or with any data."""
+    good, fine = np.zeros(term.shape(chunk)[:3], bool), (chunk.flag != 1) | flagged
     for ant in (chunk.ant1, chunk.ant2):
         good[term.t[fine], term.f[fine], ant[fine]] = True
     return good
@@ -551,6 +551,7 @@ class Together:
 
     A residual r = D - P X Q^H, with X the summed model, has the derivatives Y = X Q^H by the unknowns of P and
     Z = P X by the conjugate ones of Q. Rows are the last axis, in the order of intervals and baselines, whose sums are all that's needed.
+    Of matrices, the gains come out of the sums, so that those of X and D over the rows are formed once, before the iterations.
     """
 
     def __init__(self, chunk: Chunk, term: TermState):
@@ -570,6 +571,8 @@ class Together:
         if self.matrix:
             self.x, self.d, self.w = (x.reshape(2, 2, -1) for x in (self.x, self.d, self.w))
             self.fixed = np.eye(2, dtype=complex).ravel() if isinstance(self.kind, Leakage) else np.zeros(4, complex)
+            self.xd, self.xx = self._moments()
+            del self.x, self.d, self.w
 
     def __call__(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """jhj and jhr as of :func:`normal_equations`, and the sums (t and f, ant, unknown, ant, unknown) that multiply the conjugate
@@ -605,32 +608,50 @@ class Together:
         diagonal = lambda x: self._summed(x)[:, :, None] * np.eye(len(g))
         return self._summed(wy * r), self._summed(wz * np.conj(r)), diagonal(wy * y), diagonal(wz * np.conj(z)), diagonal(wy * z)
 
+    def _moments(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sums over a baseline's rows of w_ij conj(x_bc) d_ij as (i, j, b, c, baseline), and of w_ij conj(x_bc) x_de."""
+        n = len(self.first)
+        xd, xx = np.zeros((2, 2, 2, 2, n), complex), np.zeros((2, 2, 2, 2, 2, 2, n), complex)
+        if not n:
+            return xd, xx
+        places = [(b, c) for b in range(2) for c in range(2)]
+        sums = lambda values: np.add.reduceat(values, self.first, axis=-1)
+        wd = self.w * self.d
+        for m, (b, c) in enumerate(places):
+            own = np.conj(self.x[b, c])
+            xd[:, :, b, c] = sums(own * wd)
+            for d, e in places[m:]:
+                xx[:, :, b, c, d, e] = sums(self.w * (own * self.x[d, e]))
+                xx[:, :, d, e, b, c] = np.conj(xx[:, :, b, c, d, e])
+        return xd, xx
+
     def _of_matrices(self, g: np.ndarray) -> tuple[np.ndarray, ...]:
-        known, k = self.kind.elements(), self.kind.count()
+        known, n_ant = self.kind.elements(), self.shape[2]
         whole = np.repeat(self.fixed[:, None], g.shape[1], 1)
         whole[known] = g
-        p, q = (whole[:, rows].reshape(2, 2, -1) for rows in (self.rows_p, self.rows_q))
-        x, q = self.x, np.conj(q)
-        y = x[:, None, 0] * q[None, :, 0] + x[:, None, 1] * q[None, :, 1]  # (b, j)
-        z = p[:, 0, None] * x[None, 0] + p[:, 1, None] * x[None, 1]  # (i, c)
-        r = self.d - (p[:, 0, None] * y[None, 0] + p[:, 1, None] * y[None, 1])  # (i, j)
-        n = len(self.first)
-        left_r, right_r = (np.zeros((n, k), complex) for _ in range(2))
-        left_j, right_j, both = (np.zeros((n, k, k), complex) for _ in range(3))
+        p, q = (whole[:, self.cell * n_ant + ant].reshape(2, 2, -1) for ant in (self.one, self.other))
+        cp, cq = np.conj(p), np.conj(q)
+        one = self.xx * q[None, :, None, :, None, None]
+        one = one[:, :, :, 0] + one[:, :, :, 1]  # conj(y_bj) x_de by w_ij: (i, j, b, d, e)
+        yy = one[..., 0, :] * cq[None, :, None, None, 0] + one[..., 1, :] * cq[None, :, None, None, 1]  # conj(y_bj) y_dj
+        yz = one[:, :, :, 0] * p[:, 0, None, None, None] + one[:, :, :, 1] * p[:, 1, None, None, None]  # conj(y_bj) z_ie
+        two = self.xx * cp[:, None, :, None, None, None]
+        two = two[:, :, 0] + two[:, :, 1]  # conj(z_ic) x_de: (i, j, c, d, e)
+        zz = two[:, :, :, 0] * p[:, 0, None, None, None] + two[:, :, :, 1] * p[:, 1, None, None, None]  # conj(z_ic) z_ie
+        yd = (self.xd * q[None, :, None, :]).sum(3)
+        zd = (self.xd * cp[:, None, :, None]).sum(2)
+        left_r = (yd - (yy * p[:, None, None, :]).sum(3)).sum(1)  # (i, b)
+        right_r = np.conj((zd - (zz * cq[None, :, None, :]).sum(3)).sum(0))  # (j, c)
+        left_j, right_j = yy.sum(1), np.conj(zz.sum(0))  # (i, b, d) and (j, c, e)
+        n, k = len(self.first), len(known)
         own = [divmod(e, 2) for e in known]
-        wr = self.w * r
-        wy = self.w[:, None] * np.conj(y)[None]  # (i, b, j)
-        wz = np.swapaxes(self.w, 0, 1)[:, None] * np.swapaxes(z, 0, 1)[None]  # (j, c, i)
+        out_j = [np.zeros((n, k, k), complex) for _ in range(3)]
         for a, (i, b) in enumerate(own):
-            left_r[:, a] = self._summed(np.conj(y[b, 0]) * wr[i, 0] + np.conj(y[b, 1]) * wr[i, 1])
-            right_r[:, a] = self._summed(z[0, b] * np.conj(wr[0, i]) + z[1, b] * np.conj(wr[1, i]))
             for c, (j, d) in enumerate(own):
-                if i == j and c >= a:
-                    left_j[:, a, c] = self._summed(wy[i, b, 0] * y[d, 0] + wy[i, b, 1] * y[d, 1])
-                    right_j[:, a, c] = self._summed(wz[i, b, 0] * np.conj(z[0, d]) + wz[i, b, 1] * np.conj(z[1, d]))
-                    left_j[:, c, a], right_j[:, c, a] = np.conj(left_j[:, a, c]), np.conj(right_j[:, a, c])
-                both[:, a, c] = self._summed(wy[i, b, j] * z[i, d])
-        return left_r, right_r, left_j, right_j, both
+                if i == j:
+                    out_j[0][:, a, c], out_j[1][:, a, c] = left_j[i, b, d], right_j[i, b, d]
+                out_j[2][:, a, c] = yz[i, j, b, d]
+        return left_r.reshape(4, n)[known].T, right_r.reshape(4, n)[known].T, *out_j
 
 
 def equations(chunk: Chunk, chain: list[TermState], active: int) -> Callable[[], tuple[np.ndarray, ...]]:

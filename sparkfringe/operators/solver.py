@@ -90,12 +90,20 @@ def _rows(n: int, chunk: dict, **columns) -> pa.Table:
     return pa.table(out)
 
 
+def _pairs(at: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each bin, in order."""
+    order = np.lexsort((values, at))
+    at, values = at[order], values[order]
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1]) | (values[1:] != values[:-1])
+    return at[new], values[new]
+
+
 def _means(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """The mean of the distinct values of each bin."""
-    pairs = np.unique(np.stack([at.astype(float), values]), axis=1)
-    own = pairs[0].astype(int)
+    own, values = _pairs(at, values)
     count = np.bincount(own, minlength=n)
-    return np.bincount(own, pairs[1], n) / np.maximum(count, 1)
+    return np.bincount(own, values, n) / np.maximum(count, 1)
 
 
 def chunk_of(plan: Plan, table: pa.Table) -> K.Chunk:
@@ -130,13 +138,13 @@ class Axes:
         channels, at = np.unique(get("chan"), return_inverse=True)
         freqs = np.zeros(len(channels))
         freqs[at] = get("freq")
-        times = {t.name: tuple(np.unique(np.stack([get(f"{t.name}_t_bin").astype(float), get("time")]), axis=1)) for t in plan.terms}
+        times = {t.name: _pairs(get(f"{t.name}_t_bin").astype(int), get("time")) for t in plan.terms}
         bands = {}
         for t in plan.terms:
             own = np.zeros(len(channels), int)
             own[at] = get(f"{t.name}_pf_bin")
             bands[t.name] = own
-        return Axes(channels, freqs, {n: (x[0].astype(int), x[1]) for n, x in times.items()}, bands)
+        return Axes(channels, freqs, times, bands)
 
 
 def told(plan: Plan, keys: dict, chain: list[K.TermState], axes: Axes, chi: dict) -> list[pa.Table]:
@@ -167,7 +175,16 @@ def _bins(plan: Plan, table: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray
     return {t.name: tuple(table.column(f"{t.name}_{c}").to_numpy().astype(int) for c in ("t_bin", "pf_bin")) for t in plan.terms}
 
 
-def _answer(plan: Plan, table: pa.Table, loaded: dict[str, np.ndarray] | None = None) -> pa.Table:
+def _cells_of(plan: Plan, keys: dict, chunk: K.Chunk, chain: list[K.TermState]) -> list[pa.Table]:
+    """A row for each interval and antenna with data, flagged or not."""
+    parts = []
+    for t, state in zip(plan.terms, chain, strict=True):
+        at = np.nonzero(K.covered(chunk, state, flagged=True))
+        parts.append(_rows(len(at[0]), keys | {"term": t.name, "type": t.type}, kind="cell", t_bin=at[0], f_bin=at[1], ant=at[2]))
+    return parts
+
+
+def _answer(plan: Plan, table: pa.Table, loaded: dict[str, np.ndarray] | None = None, cells: bool = False) -> pa.Table:
     keys = {k: table.column(k)[0].as_py() for k in CHUNK}
     chunk = chunk_of(plan, table)
     chain = chain_of(plan, K.Band(float(chunk.freq.min()), float(chunk.freq.max())), _bins(plan, table))
@@ -177,6 +194,8 @@ def _answer(plan: Plan, table: pa.Table, loaded: dict[str, np.ndarray] | None =
     s = plan.solver
     chi = K.solve(chunk, chain, s.iter_recipe, s.robust, s.reference_antenna, stop_fraction=s.convergence_fraction, criterion=s.convergence_criteria, propagate=s.propagate_flags)
     parts = told(plan, keys, chain, Axes.of(plan, table), chi)
+    if cells:
+        return pa.concat_tables(parts + _cells_of(plan, keys, chunk, chain))
     parts.append(_rows(table.num_rows, keys, kind="vis", row_id=table.column("row_id").to_numpy(), chan=table.column("chan").to_numpy(), flag=chunk.flag, weight=_lists(chunk.weight)))
     return pa.concat_tables(parts)
 
@@ -185,19 +204,26 @@ def columns_of(plan: Plan) -> list[str]:
     return [*CHUNK, "row_id", "chan", "freq", "time", "ant1", "ant2", "data", "model", "weight", "flag", *[c for t in plan.terms for c in (f"{t.name}_t_bin", f"{t.name}_pf_bin")]]
 
 
-def solve(vis: DataFrame, plan: Plan, loaded: DataFrame | None = None) -> DataFrame:
+def deal(vis: DataFrame) -> DataFrame:
+    """Rows dealt to the tasks of solving, chunk by chunk. Columns that are made from a row's own may be added to them afterwards, and
+    then aren't shuffled and sorted."""
+    # A chunk's work is far above what its bytes say, so that small partitions must not be joined into few tasks.
+    return vis.repartition(PER_CORE * vis.sparkSession.sparkContext.defaultParallelism, *CHUNK).sortWithinPartitions(*CHUNK)
+
+
+def solve(vis: DataFrame, plan: Plan, loaded: DataFrame | None = None, dealt: bool = False, cells: bool = False) -> DataFrame:
     """The result table of all chunks. ``vis`` has the bins of every term (see :func:`plans.calibrate.bin_terms`).
 
     ``loaded`` gives starts: rows (keys, term, t_bin, f_bin, ant, dir, p) of parameters, or (…, g) of plain gains, on the bins of
-    the terms.
+    the terms. ``dealt`` tells that ``vis`` comes from :func:`deal`. With ``cells``, which is for solving without starts, there are
+    rows of kind cell, one for each term's interval and antenna with data, in place of those of the data themselves.
     """
     vis = vis.select(*columns_of(plan))
     if loaded is None:
-        # A chunk's work is far above what its bytes say, so that small partitions must not be joined into few tasks.
-        vis = vis.repartition(PER_CORE * vis.sparkSession.sparkContext.defaultParallelism, *CHUNK)
+        vis = vis if dealt else deal(vis)
 
         def run(table: pa.Table) -> pa.Table:
-            return _answer(plan, table)
+            return _answer(plan, table, cells=cells)
 
         return vis.groupBy(*CHUNK).applyInArrow(run, RESULT)
 

@@ -19,7 +19,7 @@ from . import calibrate
 from .config import SolverOptions, TermOptions
 from .schemas import CHUNK, JONES
 
-N_ANT = 7
+N_ANT, N_CHAN = 7, 7
 TIME_CHUNK, TIME_BIN, FREQ_BIN = 40, 5, 2
 LIGHT, TWO_PI = 299792458.0, 6.283185307179586
 CELL = (*CHUNK, "t_bin", "f_bin", "ant")
@@ -115,8 +115,9 @@ def _gain(kind: str, p: list[Column], freq: Column, low: float, high: float) ->
     return Jones((zero, one, one, zero))
 
 
-def _measured(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, TermOptions]:
-    """Corrupted visibilities with chunks and the bins of the term G."""
+def _measured(spark: SparkSession, sf_dir: str, kind: str, dealt: bool = False) -> tuple[DataFrame, TermOptions]:
+    """Corrupted visibilities with chunks and the bins of the term G. With ``dealt`` rows go to the tasks of solving before models and
+    data, many times their size, are made."""
     plant, c = PLANTS[kind], F.col
     apply.small_methods(spark)
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
@@ -128,17 +129,22 @@ def _measured(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, T
     parts = (Cx(0.5 + part, F.lit(0.0)), Cx(0.3 + supp * 0.5, cross), Cx(0.3 + supp * 0.5, -cross), Cx(1 + (c("l_partkey") % 3) * 0.5, F.lit(0.0)))
     model = Jones(parts if plant.n_corr == 4 else (parts[0], Cx(F.lit(0.8), supp * 0.2)))
     bad = c("l_quantity") == 7
+    # Neither ddid nor f_chunk is a literal: rows in an order of which one is part would be sorted again when data have been made.
     vis = li.where(a != b).select(
-        scan.alias("scan"), (scan % 2).alias("field"), F.lit(0).alias("ddid"), F.monotonically_increasing_id().alias("row_id"), (utime * 8.0).alias("time"),
-        F.lit(8.0).alias("interval"), F.least(a, b).alias("ant1"), F.greatest(a, b).alias("ant2"), F.lit(0.0).alias("u"), F.lit(0.0).alias("v"), F.lit(0.0).alias("w"),
-        chan.alias("chan"), (1e9 + chan * plant.step).alias("freq"), F.lit(plant.step).alias("width"), F.array(model.column()).alias("model"),
-        F.array(*[1 / (0.01 + c("l_tax"))] * plant.n_corr).alias("weight"), F.array(*[bad] * plant.n_corr).alias("flag"), F.lit(False).alias("flag_row"),
+        scan.alias("scan"), (scan % 2).alias("field"), (chan * 0).alias("ddid"), (utime * 8.0).alias("time"), F.lit(8.0).alias("interval"), chan.alias("chan"),
+        F.least(a, b).alias("ant1"), F.greatest(a, b).alias("ant2"), "l_partkey", "l_suppkey", "l_quantity", "l_tax",
     )
-    chans = spark.range(7).select(F.lit(0).alias("ddid"), c("id").cast("int").alias("chan"), (1e9 + c("id") * plant.step).alias("freq"), F.lit(plant.step).alias("width"))
+    chans = spark.range(N_CHAN).select(F.lit(0).alias("ddid"), c("id").cast("int").alias("chan"), (1e9 + c("id") * plant.step).alias("freq"), F.lit(plant.step).alias("width"))
     term = TermOptions("G", kind, time_interval=TIME_BIN, freq_interval=0 if plant.whole_band else FREQ_BIN, solve_per=plant.per)
-    vis, times, chans = calibrate.chunked(vis, chans, TIME_CHUNK, 0)
+    vis, times, chans = calibrate.chunked(vis, chans, TIME_CHUNK, N_CHAN)
     vis = calibrate.bin_terms(vis, times, chans, [term])
-    ends = (1e9, 1e9 + 6 * plant.step)
+    vis = solver.deal(vis) if dealt else vis
+    vis = vis.select(
+        *[x for x in vis.columns if not x.startswith("l_")], F.monotonically_increasing_id().alias("row_id"), F.lit(0.0).alias("u"), F.lit(0.0).alias("v"), F.lit(0.0).alias("w"),
+        (1e9 + c("chan") * plant.step).alias("freq"), F.lit(plant.step).alias("width"), F.array(model.column()).alias("model"),
+        F.array(*[1 / (0.01 + c("l_tax"))] * plant.n_corr).alias("weight"), F.array(*[bad] * plant.n_corr).alias("flag"), F.lit(False).alias("flag_row"),
+    )
+    ends = (1e9, 1e9 + (N_CHAN - 1) * plant.step)
     for side in ("ant1", "ant2"):
         own = {"ant": side, "t_bin": "G_t_bin", "f_bin": "G_pf_bin"}
         vis = vis.withColumns({f"_{side}_{k}": _formula(f, own) for k, f in enumerate(plant.unknowns)})
@@ -153,6 +159,7 @@ def _measured(spark: SparkSession, sf_dir: str, kind: str) -> tuple[DataFrame, T
 
 
 def _formula(text: str, names: dict[str, str]) -> Column:
+    text = re.sub(r"(?<![\w.])\d+\.\d+(?![\w.])", r"\g<0>D", text)  # decimals, which SQL makes of these, take far longer
     return F.expr(f"cast({re.sub(r'[a-z_]+', lambda m: names.get(m[0], m[0]), text)} as double)")
 
 
@@ -160,11 +167,14 @@ def _wrapped(x: Column) -> Column:
     return x - TWO_PI * F.floor((x + TWO_PI / 2) / TWO_PI)
 
 
-def _told(found: DataFrame, kind: str) -> DataFrame:
+def _told(found: DataFrame, kind: str, cells: bool = False) -> DataFrame:
     """Rows of the cells with the unknowns in the units they are told in, rounded, and whether nothing is left of the chunk's data.
-    The chunk's chi-squared comes by a window, since a second look at ``found`` would solve all chunks again."""
+    The chunk's chi-squared comes by a window, since a second look at ``found`` would solve all chunks again; so do, with ``cells``, the
+    cells with data, which alone are told."""
     left = F.max(F.when(F.col("kind") == "stats", F.col("post"))).over(Window.partitionBy(*CHUNK))
-    found = found.where("kind IN ('gain', 'param', 'stats')").withColumn("post", left)
+    found = found.where("kind IN ('gain', 'param', 'stats', 'cell')").withColumn("post", left)
+    if cells:
+        found = found.withColumn("_cell", F.bool_or(F.col("kind") == "cell").over(Window.partitionBy(*CELL))).where("_cell")
     plant = PLANTS[kind]
     if kind in solver.PLAIN or kind == "feed_flip":
         rows = found.where("kind = 'gain'")
@@ -191,16 +201,18 @@ def _told(found: DataFrame, kind: str) -> DataFrame:
 def solved(spark: SparkSession, sf_dir: str, kind: str, slice_rows: int = 0) -> DataFrame:
     """What the solver finds for every interval and antenna with data, and whether nothing is left of the data; with ``slice_rows``,
     by slices of chunks."""
-    vis, term = _measured(spark, sf_dir, kind)
-    plant = PLANTS[kind]
+    plant, direct = PLANTS[kind], kind != "parallactic_angle" and not slice_rows
+    vis, term = _measured(spark, sf_dir, kind, direct)
     options = SolverOptions(terms=("G",), iter_recipe=(plant.rounds,), convergence_fraction=1.0, convergence_criteria=1e-8)
+    plan = solver.Plan((term,), options, plant.n_corr, N_ANT)
+    if direct:
+        return _told(solver.solve(vis, plan, dealt=True, cells=True), kind, True)
     cells = [*CHUNK, F.col("G_t_bin").alias("t_bin"), F.col("G_pf_bin").alias("f_bin")]
     seen = vis.select(*cells, F.explode(F.array("ant1", "ant2")).alias("ant")).distinct()
     loaded = None
     if kind == "parallactic_angle":
         p = [_formula(f, {}) for f in plant.unknowns]
         loaded = seen.select(*CELL[:-1], "ant", F.lit("G").alias("term"), F.lit(0).alias("dir"), F.lit(None).cast(JONES).alias("g"), F.array(*p).alias("p"))
-    plan = solver.Plan((term,), options, plant.n_corr, N_ANT)
     found = large.solve(vis, plan, slice_rows) if slice_rows else solver.solve(vis, plan, loaded)
     told = _told(found, kind)
     if kind == "parallactic_angle":

@@ -73,3 +73,33 @@ def test_a_query_solves_its_chunks_once(spark, tmp_path):
     plan = planted.solved(spark, str(tmp_path), "diag_complex")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("FlatMapGroupsInArrow") == 1
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def lineitems(spark, path, n=300):
+    """Rows of which those of the second interval are flagged."""
+    names = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_tax double"
+    rows = [(50 * (k // 20), k, 3 * k + 1, k % 7 + 1, 7.0 if k // 100 == 1 else 1.0, 0.0) for k in range(n)]
+    spark.createDataFrame(rows, names).write.parquet(f"{path}/lineitem.parquet")
+
+
+def test_rows_are_dealt_before_their_data_are_made(spark, tmp_path):
+    """What is shuffled and sorted for the solver are the columns that data are made of, and the lines are read once for it."""
+    lineitems(spark, tmp_path)
+    plan = planted.solved(spark, str(tmp_path), "leakage")._jdf.queryExecution().executedPlan().toString()
+    made = plan.split("FlatMapGroupsInArrow")[1].split("Exchange")[0]
+    assert "_left" in made and made.count("Sort [") == 1 and made.index("_left") < made.index("Sort [")
+    assert plan.count("FileScan") == 3  # the other two tell times apart
+    assert "decimal" not in plan
+
+
+@pytest.mark.parametrize("kind", ["leakage", "delay", "crosshand_phase"])
+def test_all_cells_with_data_are_told(spark, tmp_path, kind):
+    """Those all of whose data are flagged, too."""
+    duckdb = pytest.importorskip("duckdb")
+    lineitems(spark, tmp_path)
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+        want = con.execute(f"SELECT {', '.join(planted.CELL)} FROM ({planted.truth(kind)})").fetchall()
+    got = planted.solved(spark, str(tmp_path), kind).collect()
+    assert sorted(tuple(r[k] for k in planted.CELL) for r in got) == sorted(want)
+    assert any(r["gain_flag"] == 1 for r in got)
